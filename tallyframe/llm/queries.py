@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm import langid, quality
 from tallyframe.llm.common import table
 from tallyframe.llm.exact_dedup import exact_dedup
+from tallyframe.llm.html_text import extract
+from tallyframe.llm.minhash import near_dedup
 from tallyframe.llm.mixing import mix
 from tallyframe.llm.packing import pack
 from tallyframe.llm.sharding import interleave
@@ -19,19 +22,43 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = quality.fold(F.col("doc_id"), 3) == 1
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels").filter(~held))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats") + F.col("extra")).alias("taken"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = quality.fold(F.col("doc_id"), 5) == 0
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~held))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = interleave(table(spark, sf_dir, "documents"), shards=8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_mixing, op8_sharding, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op4_mixing, op5_language_id, op7_html_text, op8_sharding, op9_near_dedup, op10_exact_dedup)}

@@ -16,6 +16,7 @@ from tallyframe.llm.minhash import near_dedup
 from tallyframe.llm.mixing import mix
 from tallyframe.llm.packing import pack
 from tallyframe.llm.sharding import interleave
+from tallyframe.llm.topk_search import top_k_search
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats") + F.col("extra")).alias("taken"))
@@ -61,4 +66,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op4_mixing, op5_language_id, op7_html_text, op8_sharding, op9_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_topk_search, op4_mixing, op5_language_id, op7_html_text, op8_sharding, op9_near_dedup, op10_exact_dedup)}

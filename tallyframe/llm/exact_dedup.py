@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import materialize, small_or_shuffled
+from tallyframe.llm.common import drop_rows, materialize, small_or_shuffled
 
 
 def content_hash(text: Column) -> Column:
@@ -60,3 +60,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _decide(rows: DataFrame) -> DataFrame:
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return rows.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+    """``docs`` with one row of each group of equal texts, in its own columns.
+
+    Rows that repeat both id and text become one. The texts are shuffled only
+    where the dropped rows are too many to be broadcast.
+    """
+    decided = materialize(exact_dedup(docs, id_col, text_col, keep), "decisions")
+    marked = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).withColumn("__id", F.col(id_col))
+    drops = materialize(decided.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "drops")
+    rest = drop_rows(marked, drops, ["__id", "__sha"])
+    twice = decided.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twice = materialize(twice.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "repeats")
+    if twice.count():
+        mine = twice.select(F.col("__id").alias("__i"), F.col("__sha").alias("__s"))
+        same = rest["__id"].eqNullSafe(mine["__i"]) & (rest["__sha"] == mine["__s"])
+        once = rest.join(small_or_shuffled(mine), same, "left_semi").dropDuplicates(["__id", "__sha"])
+        rest = drop_rows(rest, twice, ["__id", "__sha"]).unionByName(once)
+    return rest.select(*docs.columns)

@@ -169,20 +169,21 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed:
     return fit([flat[ends[i] : ends[i + 1]] for i in order], y)
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``doc_id, score, predicted`` for every row of ``docs``, from its whole text alone.
 
     Edge cases: a null or empty text has no features and gets the model's
     constant; repeated rows get equal scores; an empty table an empty result.
-    ``carry`` names columns to hand through instead of the bare id.
+    ``carry`` names columns to hand through instead of the bare id, and
+    ``names`` the two new ones.
 
     One pass over the scan, no shuffle. A worker keeps one Arrow batch of
     texts, a bounded cache of chunks and the table of weights.
     """
     short_batches(docs.sparkSession)
     carry = carry or [id_col]
-    d = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"), *[F.col(c) for c in carry])
-    out = pa.float64()
+    d = docs.select(*carry) if text_col in carry else docs.select(*carry, text_col)
+    at = d.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,16 +195,16 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             sq[m["feats"]] = m["ratio"] ** 2
         featurizer = _featurizer()
         for b in batches:
-            texts = b.column(0).cast(pa.binary()).to_pylist()
+            texts = b.column(at).cast(pa.binary()).fill_null(b"").to_pylist()
             doc, feat = featurizer.batch(texts, known)
             top = np.bincount(doc, weight[feat], len(texts))
             norm = np.sqrt(np.bincount(doc, sq[feat], len(texts)))
             margin = top / np.maximum(norm, 1e-9) + m["bias"]
             p = 1 / (1 + np.exp(-np.clip(m["scale"] * margin + m["shift"], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(p, out), pa.array((p >= 0.5).astype(np.int32))], names=[*carry, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*carry, *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
-    return d.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", score double, predicted int")
+    return d.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + f", `{names[0]}` double, `{names[1]}` int")
 
 
 _kept: list[Featurizer] = []

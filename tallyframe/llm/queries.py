@@ -16,6 +16,7 @@ from tallyframe.llm.minhash import near_dedup
 from tallyframe.llm.mixing import mix
 from tallyframe.llm.packing import pack
 from tallyframe.llm.sharding import interleave
+from tallyframe.llm.token_counts import count_tokens
 from tallyframe.llm.topk_search import top_k_search
 
 
@@ -48,6 +49,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -66,4 +71,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_topk_search, op4_mixing, op5_language_id, op7_html_text, op8_sharding, op9_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_topk_search, op4_mixing, op5_language_id, op6_token_counts, op7_html_text, op8_sharding, op9_near_dedup, op10_exact_dedup)}

@@ -119,9 +119,9 @@ def top_k_search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str
     blocks = max(1, -(-q.count() // QUERY_ROWS))
     q = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     slabs = bands.select("dim", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    q = q.join(slabs, "dim").select("dim", "band", "part", "block", "vec_id", "v", F.lit(True).alias("asks"))
+    q = q.join(slabs, "dim").select(*[F.col(x).alias(x) for x in ("dim", "band", "part", "block", "vec_id", "v")])
     c = c.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    c = c.select("dim", "band", "part", "block", "vec_id", "v", F.lit(False).alias("asks"))
+    c = c.select("dim", "band", "part", "block", "vec_id", "v")
     key = ["dim", "band", "part", "block"]
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:

@@ -1,0 +1 @@
+"""A Spark-native engine for document tables, reconciliation and data-quality rules."""

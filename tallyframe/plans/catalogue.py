@@ -17,6 +17,7 @@ from tallyframe.functions import predicates as P
 from tallyframe.functions import scalars as S
 from tallyframe.functions import tables as T
 from tallyframe.operators import diff, fees, pages, reconcile, resolve, rules, usage
+from tallyframe.session import materialize
 from tallyframe.sources import xml_export
 from tallyframe.sources.writers import table_line
 
@@ -219,7 +220,7 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey AS deal_key, 'C-' || l_linenumber AS label, 'V5' AS rule FROM lineitem WHERE l_linenumber = 4 UNION ALL SELECT l_orderkey, 'C-' || l_linenumber, 'V5b' FROM lineitem WHERE l_linenumber = 6")
 def rollforward_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5 and V5b from markdown: balances that don't roll forward."""
-    return rules.balances(rules.class_rows(rules.prepare(deals(spark, sf_dir)))).select("deal_key", "label", "rule")
+    return rules.balances(materialize(rules.class_rows(rules.prepare(deals(spark, sf_dir))), "classes")).select("deal_key", "label", "rule")
 
 
 @query("SELECT l_orderkey AS deal_key, 'C-' || l_linenumber AS label FROM lineitem WHERE l_linenumber = 7")

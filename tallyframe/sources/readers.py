@@ -50,7 +50,7 @@ def xml_requests(spark: SparkSession, path: str, base: str) -> DataFrame:
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """``path, folder, name, text`` of text files, one row a file."""
-    d = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    d = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return d.withColumns({"name": F.element_at(F.split("path", "/"), -1), "folder": F.element_at(F.split("path", "/"), -2)})
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import seeded, short_batches
-from tallyframe.llm.tokens import MAX_CHUNKS, Memo
+from tallyframe.llm.tokens import MAX_CHUNKS, Memo, worker_cache
 
 #: Documents of each language the fit reads at most (about; drawn by hash).
 MAX_DOCS = 3_000
@@ -112,9 +113,6 @@ class Scorer:
         return sums
 
 
-_kept: list = [None, None]
-
-
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` for every row, from its whole text alone.
 
@@ -129,13 +127,11 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     """
     short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = f"{id(model)}-{docs.sparkSession.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 60)}"
+    key = ("languages", uuid.uuid4().hex)
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _kept[0] != key:
-            _kept[:] = [key, Scorer(shared.value)]
-        scorer = _kept[1]
+        scorer = worker_cache(key, lambda: Scorer(shared.value))
         for b in batches:
             sums = scorer.batch(b.column(1).cast(pa.binary()).to_pylist())
             letters, sums = sums[:, -1] > 0, sums[:, :-1]

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import seeded, short_batches
-from tallyframe.llm.tokens import MAX_CHUNKS, Memo, Ragged
+from tallyframe.llm.tokens import MAX_CHUNKS, Memo, Ragged, worker_cache
 
 BITS = 22
 #: Labelled rows the fit reads at most (about; they are drawn by hash).
-MAX_TRAIN = 12_000
+MAX_TRAIN = 8_000
 MIN_DOCS = 5
 PARTS = re.compile(r"[^\W_]+|[\W_]+")
 
@@ -54,14 +54,16 @@ class Featurizer:
             # crc32 is unsigned; the ragged store holds the same 32 bits signed
             self.rows.extend([[t - (1 << 32) if t >> 31 else t for t in chunk_terms(c)] for c in fresh])
         terms, lens = self.rows.take(idx)
-        doc = np.repeat(np.repeat(np.arange(len(texts)), n), lens)
+        of_chunk = np.repeat(np.arange(len(texts)), n)
+        doc = np.repeat(of_chunk, lens)
         terms = terms.view(np.uint32).astype(np.uint64)
         shift, mask = np.uint64(64 - BITS), np.uint64((1 << 64) - 1)
         one = (terms * np.uint64(0x9E3779B97F4A7C15)) & mask
         two = ((one[:-1] ^ (terms[1:] + np.uint64(0x632BE59BD9B4E019))) * np.uint64(0xD6E8FEB86659FD93)) & mask
         same = doc[:-1] == doc[1:]
-        feats = np.concatenate([one >> shift, two[same] >> shift]).astype(np.int64)
-        docs = np.concatenate([doc, doc[:-1][same]])
+        feats = [(one >> shift).astype(np.int64), (two[same] >> shift).astype(np.int64)]
+        docs = [doc, doc[:-1][same]]
+        feats, docs = np.concatenate(feats), np.concatenate(docs)
         if known is not None:
             keep = known[feats]
             feats, docs = feats[keep], docs[keep]
@@ -69,38 +71,45 @@ class Featurizer:
         return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int = 10, alpha: float = 1.0, seed: int = 7) -> dict:
+def fit(flat: np.ndarray, ends: np.ndarray, labels: np.ndarray, c: float = 1.0, epochs: int = 10, alpha: float = 1.0, seed: int = 7) -> dict:
     """Log-count ratios, then hinge loss by dual coordinate descent, then a logistic scale.
 
-    ``rows`` are the distinct features of each document. The weights come from
-    four fifths of the rows and the logistic scale from the rest. With one
-    class only, or none, the model is the constant class share (1/2 if none).
+    ``flat[ends[i]:ends[i + 1]]`` are the distinct features of document i.
+    The weights come from four fifths of the rows and the logistic scale from
+    the rest. With one class only, or too few rows, the model is the constant
+    class share (1/2 if there is none). Features are numbered anew by the
+    vocabulary of the sample, so that nothing but a count has the hash's size.
     """
     y = np.asarray(labels)
-    if len(y) < 10 or len(set(y.tolist())) < 2:
-        p = float(y.mean()) if len(y) else 0.5
-        return {"feats": np.zeros(0, np.int64), "weights": np.zeros(0, np.float32), "bias": 0.0, "scale": 0.0, "shift": float(np.log((p + 1e-3) / (1 - p + 1e-3)))}
-    size = 1 << BITS
-    seen = np.bincount(np.concatenate(rows), minlength=size) >= min(MIN_DOCS, max(1, len(rows) // 20))
-    rows = [r[seen[r]] for r in rows]
+    n = len(y)
+    if n < 10 or len(set(y.tolist())) < 2:
+        p = float(y.mean()) if n else 0.5
+        return {"feats": np.zeros(0, np.int64), "weights": np.zeros(0, np.float32), "ratio": np.zeros(0, np.float32), "bias": 0.0, "scale": 0.0, "shift": float(np.log((p + 1e-3) / (1 - p + 1e-3)))}
+    least = min(MIN_DOCS, max(1, n // 20))
+    seen = np.bincount(flat, minlength=1 << BITS) >= least
+    feats = np.flatnonzero(seen)
+    number = np.full(1 << BITS, -1, np.int32)
+    number[feats] = np.arange(len(feats))
+    rows = [r[r >= 0] for r in (number[flat[ends[i] : ends[i + 1]]] for i in range(n))]
+    del seen, number
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(rows))
-    train, held = order[len(order) // 5 :], order[: len(order) // 5]
+    order = rng.permutation(n)
+    train, held = order[n // 5 :], order[: n // 5]
     if len(set(y[train].tolist())) < 2:
         train = held = order
-    p = alpha + np.bincount(np.concatenate([rows[i] for i in train if y[i] == 1]), minlength=size)
-    q = alpha + np.bincount(np.concatenate([rows[i] for i in train if y[i] == 0]), minlength=size)
-    ratio = np.where(seen, np.log((p / p[seen].sum()) / (q / q[seen].sum())), 0.0)
+    p, q = np.full(len(feats), alpha), np.full(len(feats), alpha)
+    for i in train:
+        (p if y[i] == 1 else q)[rows[i]] += 1
+    ratio = np.log((p / p.sum()) / (q / q.sum()))
+    norm = np.array([max(1e-9, float(np.sqrt((ratio[r] ** 2).sum()))) for r in rows])
     sign = np.where(y == 1, 1.0, -1.0)
-    xs = [ratio[r] for r in rows]
-    norm = np.array([max(1e-9, np.sqrt(x @ x)) for x in xs])
-    xs = [x / k for x, k in zip(xs, norm)]
     share = np.array([(y[train] == 0).mean(), (y[train] == 1).mean()])
     upper = c * 0.5 / share[y]
-    w, bias, dual = np.zeros(size), 0.0, np.zeros(len(rows))
+    w, bias, dual = np.zeros(len(feats)), 0.0, np.zeros(n)
     for _ in range(epochs):
         for i in rng.permutation(train):
-            r, x = rows[i], xs[i]
+            r = rows[i]
+            x = ratio[r] / norm[i]
             gradient = sign[i] * (w[r] @ x + bias) - 1
             new = min(max(dual[i] - gradient / 2.0, 0.0), upper[i])  # |x|^2 with the constant is 2
             if new != dual[i]:
@@ -108,10 +117,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int
                 w[r] += step * x
                 bias += step
                 dual[i] = new
-    margin = np.array([w[rows[i]] @ xs[i] + bias for i in held])
+    margin = np.array([w[rows[i]] @ ratio[rows[i]] / norm[i] + bias for i in held])
     a, b = _logistic(margin, y[held])
-    feats = np.flatnonzero(seen)
-    return {"feats": feats, "weights": w[feats], "ratio": ratio[feats], "bias": bias, "scale": a, "shift": b}
+    return {"feats": feats, "weights": w.astype(np.float32), "ratio": ratio.astype(np.float32), "bias": bias, "scale": a, "shift": b}
 
 
 def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -159,14 +167,15 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), feats], names=["doc_id", "label", "feats"])
 
     got = d.mapInArrow(run, "doc_id long, label int, feats array<int>").toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    y = got.column("label").to_numpy()[order]
+    # the order of arrival depends on the cluster; the fit must not
+    got = got.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    y = got.column("label").to_numpy()
     lists = got.column("feats").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-    if not len(order):
-        return fit([], y)
-    flat, ends = lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    return fit([flat[ends[i] : ends[i + 1]] for i in order], y)
+    del got
+    if not len(y):
+        return fit(np.zeros(0, np.int32), np.zeros(1, np.int64), y)
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return fit(lists.values.to_numpy(), lists.offsets.to_numpy(), y)
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
@@ -193,7 +202,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         if len(m["feats"]):
             weight[m["feats"]] = m["weights"] * m["ratio"]
             sq[m["feats"]] = m["ratio"] ** 2
-        featurizer = _featurizer()
+        featurizer = worker_cache("features", Featurizer)
         for b in batches:
             texts = b.column(at).cast(pa.binary()).fill_null(b"").to_pylist()
             doc, feat = featurizer.batch(texts, known)
@@ -207,15 +216,6 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return d.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + f", `{names[0]}` double, `{names[1]}` int")
 
 
-_kept: list[Featurizer] = []
-
-
-def _featurizer() -> Featurizer:
-    if not _kept:
-        _kept.append(Featurizer())
-    return _kept[0]
-
-
 def fold(id_col, folds: int):
     """crc32 of the id as text, modulo ``folds`` (null id: of the empty text)."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import short_batches
-from tallyframe.llm.tokens import MAX_CHUNKS, Memo
+from tallyframe.llm.tokens import MAX_CHUNKS, Memo, worker_cache
 
 #: Mark that stands for the white space before a word.
 SPACE = "▁"
@@ -103,9 +103,6 @@ class Counter:
         return np.bincount(np.repeat(np.arange(len(texts)), n), self.counts[idx], len(texts)).astype(np.int64)
 
 
-_kept: dict[str, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens`` for every row of ``docs``, from its whole text.
 
@@ -122,9 +119,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary_path not in _kept:
-            _kept[vocabulary_path] = Counter(read_vocabulary(vocabulary_path))
-        counter = _kept[vocabulary_path]
+        counter = worker_cache(("counts", vocabulary_path), lambda: Counter(read_vocabulary(vocabulary_path)))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counter.batch(b.column(1).cast(pa.binary()).to_pylist()))], names=["doc_id", "n_tokens"])
 

@@ -19,6 +19,8 @@ BITS = 22
 #: Labelled rows the fit reads at most (about; they are drawn by hash).
 MAX_TRAIN = 8_000
 MIN_DOCS = 5
+#: Longest run of one chunk that has an indicator, and where these indicators start.
+MAX_RUN, RUN_FEATURE = 5, 17
 PARTS = re.compile(r"[^\W_]+|[\W_]+")
 
 
@@ -34,7 +36,7 @@ def chunk_terms(chunk: bytes) -> list[int]:
 
 
 class Featurizer:
-    """Distinct unigrams and bigrams of terms, hashed to ``BITS`` bits."""
+    """Distinct unigrams and bigrams of terms, hashed to ``BITS`` bits, and runs of one chunk."""
 
     def __init__(self):
         self.reset()
@@ -63,6 +65,12 @@ class Featurizer:
         same = doc[:-1] == doc[1:]
         feats = [(one >> shift).astype(np.int64), (two[same] >> shift).astype(np.int64)]
         docs = [doc, doc[:-1][same]]
+        # runs of one chunk, whatever the chunk: an n-gram whose parts are equal
+        run = np.ones(len(idx), bool)
+        for k in range(1, MAX_RUN):
+            run = run[:-1] & (idx[k:] == idx[:-k]) & (of_chunk[k:] == of_chunk[:-k])
+            docs.append(of_chunk[: len(run)][run])
+            feats.append(np.full(len(docs[-1]), RUN_FEATURE + k, np.int64))
         feats, docs = np.concatenate(feats), np.concatenate(docs)
         if known is not None:
             keep = known[feats]

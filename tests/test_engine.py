@@ -63,6 +63,33 @@ def test_rules(spark):
     assert report.startswith("| rule | severity | label | detail |\n| --- |") and "| V5 | warn | C |" in report
 
 
+STACKED = CB.replace("| A-1 | 1,000.00", "| CR | 58,050,000.00 | 58,050,000.00 | 5% | 7,000.00 | | | | | | 58,050,000.00 | |\n| SUB | 9.00 | 9.00 | 0% | 0.00 | | | | | | 9.00 | |\n| A-1 | 1,000.00").split("## Source Text")[0] + """## Source Text
+> CRR
+> 58,050,000.00
+Interest Distribution Detail
+123456AB1 5.00 10.00 0.00000 7.00
+98765ZZ12 0.00000 5,000,000.00 5,000,000.00 2,500.00
+> B
+> CRR
+> SUB
+...
+10.00 5,000.00 0.00 0.00 0.00
+20.00 7,000.00 0.00 0.00 0.00
+30.00 0.00 0.00 0.00 0.00
+> CR
+"""
+
+
+def test_label_stacks(spark):
+    from tallyframe.operators.exhibits import label_stack
+
+    assert label_stack(STACKED.split("## Source Text")[1]) == [("B", 10.0, 5000.0), ("CRR", 20.0, 7000.0), ("SUB", 30.0, 2500.0)]
+    assert label_stack("") == [] and label_stack("Interest Distribution Detail\nA\nB") == []
+    got = {(r["rule"], r["label"], r["detail"]) for r in rules.validate(deal(spark, text02=STACKED)).collect()}
+    assert ("V2b", "SUB", "source interest 2,500.00") in got and ("V10", "CRR", "a label of the exhibit's stack is missing") in got
+    assert ("V10", "CR", "interest belongs to CRR") in got and ("V10", "CR", "amount stands under CRR") in got
+
+
 def test_fees(spark):
     lines, rolled, coverage = fees.map_fees(rules.prepare(deal(spark)))
     got = {r["sub_category"]: (r["main_category"], r["amount_paid"], r["priority"]) for r in rolled.collect()}

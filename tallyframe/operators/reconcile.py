@@ -14,12 +14,11 @@ def match_rates(diffs: DataFrame, key: str = "deal_key", total: str = "TOTAL") -
     ``diffs`` is long: key, ``field``, ``diff``. Empty differences were not
     compared and count nowhere. One grouping-sets pass gives both levels.
     """
-    diffs.createOrReplaceTempView(view := f"__match_rates_{abs(hash(id(diffs)))}")
-    spark = diffs.sparkSession
-    g = spark.sql(
-        f"SELECT CASE WHEN grouping({key}) = 1 THEN '{total}' ELSE cast({key} AS string) END AS {key}, field, "
-        f"count_if(diff <> '') AS compared, count_if(diff = 'match') AS matched FROM {view} GROUP BY GROUPING SETS (({key}, field), (field))"
+    name = F.when(F.grouping(key) == 1, total).otherwise(F.col(key).cast("string"))
+    g = diffs.groupingSets([[F.col(key), F.col("field")], [F.col("field")]], F.col(key), F.col("field")).agg(
+        name.alias("__name"), F.count_if(F.col("diff") != "").alias("compared"), F.count_if(F.col("diff") == "match").alias("matched")
     )
+    g = g.select(F.col("__name").alias(key), "field", "compared", "matched")
     return g.withColumn("rate", percent_of(F.col("matched"), F.col("compared")))
 
 

@@ -14,7 +14,7 @@ BROADCAST_ROWS = 200_000
 #: Rows a bucket of a bucketed ordering should hold on average.
 BUCKET_ROWS = 500
 #: Arrow batches are cut to this many rows so that long texts stay bounded.
-ARROW_ROWS = 1_000
+ARROW_ROWS = 500
 
 #: Word characters: everything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

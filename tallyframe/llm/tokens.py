@@ -18,7 +18,7 @@ import numpy as np
 #: are neither white space, letters, digits nor the apostrophe of contractions.
 SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 #: Distinct chunks a worker keeps before it starts afresh.
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 300_000
 
 
 class Memo(dict):

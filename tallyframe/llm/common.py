@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.session import materialize  # noqa: F401  (used by the operators)
+
 #: A side is broadcast only when its counted rows stay below this bound; thin
 #: rows of at most ~64 bytes make that about 12 MB. Beyond it the same join
 #: runs as a shuffle join.
@@ -32,31 +32,6 @@ def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    own = sc._jsc.sc().getCheckpointDir()
-    if own.isEmpty():
-        sc.setCheckpointDir(f"/tmp/tallyframe-checkpoints/{sc.applicationId}")
-        own = sc._jsc.sc().getCheckpointDir()
-    return own.get()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
-
-    Cuts the lineage, so a lost executor costs a re-read and nothing upstream
-    runs twice. Parquet keeps column pruning for later readers.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_or_shuffled(small: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark a materialised frame for broadcast if its counted rows are within the bound."""
     n = small.count() if rows is None else rows

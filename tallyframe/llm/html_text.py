@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -44,6 +44,9 @@ BOILERPLATE = frozenset(
 #: A class such as "with-sidebar" tells of a neighbour.
 NEIGHBOUR = frozenset("with has no without".split())
 BONUS = {"article": 1.5, "main": 1.3}
+#: What may be voted for.
+BOXES = CONTAINERS | {"table"}
+SENTENCE = tuple(".!?:;…。！？\"'»”’)")
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: A start tag ends an open element of these kinds, up to the scope beside them.
 IMPLIED = {
@@ -200,17 +203,59 @@ class Page:
         flush()
 
     def best(self) -> tuple[int, float]:
-        """The container with the best score, the first of equals."""
-        score: dict[int, float] = {}
-        for node, _, own in self.blocks:
-            while self.tag[node] not in CONTAINERS:
-                node = self.parent[node]
-            score[node] = score.get(node, 0.0) + own
-            up = self.parent[node]
-            if up >= 0:
-                score[up] = score.get(up, 0.0) + own / 2
-        best = max(sorted(score), key=lambda n: score[n] * BONUS.get(self.tag[n], 1.0), default=0)
-        return best, score.get(best, 0.0)
+        """The outermost container that adds wanted text to what its heaviest part holds, and its characters outside links.
+
+        From the root down, an element is left for its heaviest child if the
+        rest is empty or mostly links. The body is the whole page: it is also
+        left if the rest is only short scraps in containers of their own, or
+        lies outside the page's one article or main part.
+        """
+        n = len(self.tag)
+        own, links, prose = [0] * n, [0] * n, [False] * n
+        for node, text, chars in self.blocks:
+            own[node] += chars
+            links[node] += len(text) - chars
+            prose[node] = prose[node] or self.tag[node] == "h1" or 2 * chars > len(text) and (len(text) >= 80 or " " in text and text.endswith(SENTENCE))
+        alone = list(own)
+        kids: list[list[int]] = [[] for _ in range(n)]
+        for i in range(n - 1, 0, -1):
+            if own[i] or links[i]:
+                up = self.parent[i]
+                own[up] += own[i]
+                links[up] += links[i]
+                prose[up] = prose[up] or prose[i]
+                kids[up].append(i)
+        self.prose = prose
+        inside, tops, weight = [False] * n, [], 0.0
+        for i in range(n):
+            above = i > 0 and inside[self.parent[i]]
+            inside[i] = above or self.tag[i] in BONUS
+            if inside[i] and not above and own[i]:
+                tops.append(i)
+                weight += own[i] * BONUS[self.tag[i]]
+        marked = weight > own[0] - sum(own[i] for i in tops)
+        holds = [0] * n
+        for i in tops:
+            while i >= 0:
+                holds[i] += 1
+                i = self.parent[i]
+        at = 0
+        while kids[at]:
+            # kids are in reverse order: the first of equals
+            heaviest = max(reversed(kids[at]), key=own.__getitem__)
+            page = self.tag[at] in ("html", "body")
+            if page and marked and tops:
+                heaviest = next((k for k in kids[at] if holds[k] == len(tops)), heaviest)
+            rest = [k for k in kids[at] if k != heaviest and own[k] and own[k] >= links[k]]
+            if page:
+                bounded = bool(tops) and marked and holds[heaviest] == len(tops)
+                rest = [k for k in rest if self.tag[k] not in BOXES or prose[k] and not bounded]
+            if alone[at] or rest or not own[heaviest]:
+                break
+            at = heaviest
+        while self.tag[at] not in BOXES:
+            at = self.parent[at]
+        return at, float(own[at])
 
     def path(self, node: int) -> str:
         found = []
@@ -219,12 +264,16 @@ class Page:
             node = self.parent[node]
         return ">".join(reversed(found))
 
-    def text(self, wanted: int) -> str:
-        """Blocks under the elements whose path hash is ``wanted``, in page order."""
-        inside = []
-        for up, h in zip(self.parent, self.hash):
-            inside.append(h == wanted or up >= 0 and inside[up])
-        return "\n".join(t for node, t, _ in self.blocks if inside[node])
+    def under(self, wanted: Callable[[int], bool]) -> set[int]:
+        """Numbers of the blocks under the elements that are ``wanted``."""
+        inside: list[bool] = []
+        for i, up in enumerate(self.parent):
+            inside.append(wanted(i) or up >= 0 and inside[up])
+        return {k for k, (node, _, _) in enumerate(self.blocks) if inside[node]}
+
+    def text(self, blocks: set[int]) -> str:
+        """These blocks in page order."""
+        return "\n".join(t for k, (_, t, _) in enumerate(self.blocks) if k in blocks)
 
 
 def vote(html: str) -> tuple[str, float]:
@@ -234,14 +283,21 @@ def vote(html: str) -> tuple[str, float]:
 
 
 def extract_text(html: str, host_path: str | None) -> str:
-    """Main text along the host's path, or along the page's own best where that path holds little."""
+    """Main text along the host's path, together with the page's own best.
+
+    Where the two overlap, the path of the host may be the narrower one, so
+    both are kept. Where they are apart, the part along the host's path is
+    kept if it holds more than short scraps.
+    """
     page = Page(html)
-    own = page.text(page.hash[page.best()[0]])
+    best = page.best()[0]
+    own = page.under(lambda i: i == best)
     if host_path:
-        text = page.text(path_hash(host_path))
-        if 3 * len(text) >= len(own):
-            return text
-    return own
+        wanted = path_hash(host_path)
+        host = page.under(lambda i: page.hash[i] == wanted)
+        if host & own or any(page.prose[i] for i, h in enumerate(page.hash) if h == wanted):
+            own |= host
+    return page.text(own)
 
 
 HOST = r"^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"

@@ -185,3 +185,31 @@ def test_html_consensus_of_a_host(spark):
     assert got[0]["n_chars"] == len(got[0]["text"]) and got[6]["text"] == "" == got[7]["text"]
     assert got[5]["text"].startswith("long teaser")  # the host's path holds next to nothing here
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_keeps_the_whole_article():
+    lead, long = "lead " * 20, "body text " * 200
+    got = extract_text(f"<body><article><h1>Title</h1><p>{lead}</p><div class=entry-content><p>{long}</p></div></article></body>", None)
+    assert got.split("\n") == ["Title", lead.strip(), long.strip()]
+    parts = "<body><div class=content><section class=intro><p>%s</p></section><section class=body><p>%s</p></section></div><div class=box>teaser</div></body>"
+    assert extract_text(parts % ("one " * 250, "two " * 225), None).split("\n") == [("one " * 250).strip(), ("two " * 225).strip()]
+    assert "two" in extract_text(parts % ("one " * 250, "two"), None)
+    assert "two" in extract_text("<body><main><section><p>%s</p></section><section class=b><p>%s</p></section></main></body>" % ("one " * 250, "two " * 20), None)
+    deep = "<body><article><div class=a><div><p>%s</p></div></div><div class=b><div><div><p>%s</p></div></div></div></article></body>"
+    assert "two" in extract_text(deep % ("one " * 250, "two " * 50), None)
+    assert extract_text(f"<body><h1>T</h1><div class=entry><p>{long}</p></div></body>", None).startswith("T\n")
+
+
+def test_html_table_layouts_and_link_lists():
+    row = "<body><table><tr><td class=l>%s</td><td class=m><p>%s</p><p>end</p></td></tr></table></body>"
+    links, long = '<a href="/x">some other page</a> ' * 30, "cell text " * 100
+    assert extract_text(row % (links, long), None) == long.strip() + "\nend"
+    assert "left part" in extract_text(row % ("left part " * 40, long), None)
+    assert extract_text(f"<body><article><p>{long}</p><p>end</p></article><div class=blurb>Buy one, get one free today.</div></body>", None) == long.strip() + "\nend"
+
+
+def test_html_narrow_host_path_loses_nothing():
+    page = "<body><article><h1>Title</h1><p>%s</p><div class=entry-content><p>%s</p></div></article></body>" % ("lead " * 200, "body text " * 60)
+    narrow = "html>body>article>div.entry-content"
+    assert extract_text(page, narrow) == extract_text(page, None)
+    assert extract_text(page, narrow).startswith("Title\nlead")

@@ -16,7 +16,7 @@ from tallyframe.functions import labels as L
 from tallyframe.functions import predicates as P
 from tallyframe.functions import scalars as S
 from tallyframe.functions import tables as T
-from tallyframe.operators import diff, fees, pages, reconcile, resolve, rules, usage
+from tallyframe.operators import diff, fees, layouts, pages, reconcile, resolve, rules, usage
 from tallyframe.session import materialize
 from tallyframe.sources import xml_export
 from tallyframe.sources.writers import table_line
@@ -326,6 +326,86 @@ def key_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+_LAYOUT_NAMES = list(layouts.LAYOUTS)
+
+
+@query("""
+SELECT o_custkey AS deal_key, o_orderkey AS "row", k AS layout, o_totalprice AS original_balance, o_totalprice + 1 AS beginning_balance,
+  CASE WHEN k IN ('us_bank', 'notes_information', 'computershare') THEN CAST(o_orderkey % 50 AS DOUBLE) END AS interest_rate, CASE WHEN k IN ('deutsche', 'us_bank', 'notes_information', 'note_details') THEN o_totalprice + 2 END AS interest_payment,
+  CASE WHEN k IN ('notes_information', 'opening_closing') THEN o_totalprice + 3 END AS interest_payable, o_totalprice + 4 AS principal_payment,
+  CASE WHEN k = 'notes_information' THEN CASE WHEN o_custkey % 2 = 0 THEN o_totalprice + 5 ELSE o_totalprice + 6 END WHEN k IN ('computershare', 'opening_closing') THEN o_totalprice + 5 END AS deferred_interest,
+  CASE WHEN k = 'note_details' THEN 0.0 ELSE o_totalprice + 7 END AS ending_balance, CASE WHEN k IN ('deutsche', 'us_bank') THEN o_totalprice + 8 END AS total_payment
+FROM (SELECT *, ['deutsche', 'us_bank', 'notes_information', 'computershare', 'opening_closing', 'note_details'][CAST(o_orderkey % 6 AS INTEGER) + 1] AS k FROM orders)""")
+def layout_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The printed headers of six layouts mapped to fields."""
+    step = {"original_balance": 0, "beginning_balance": 1, "interest_payment": 2, "interest_payable": 3, "principal_payment": 4, "deferred_interest": 5, "ending_balance": 7, "total_payment": 8}
+    arms = None
+    for layout in _LAYOUT_NAMES:
+        cells = []
+        for header, field, rank in layouts.LAYOUTS[layout]:
+            if header in ("Current Principal Balance", "Ending/Current Principal Balance") and layout == "us_bank":
+                continue
+            value = money(F.col("o_orderkey") % 50 if field == "interest_rate" else F.col("o_totalprice") + step[field] + 1000 * rank)
+            if header == "Deferred Interest Paid":
+                value = F.when(F.col("o_custkey") % 2 == 0, value).otherwise("0.00")
+            elif header == "Deferred Interest Due":
+                value = money(F.col("o_totalprice") + 6)
+            elif layout == "note_details" and field == "ending_balance":
+                value = F.lit(" - ")
+            cells.append(F.struct(F.lit(len(cells)).alias("seq"), F.lit(header.upper().replace(" ", "\n", 1)).alias("header"), value.alias("value")))
+        arms = F.when(F.col("layout") == layout, F.array(*cells)) if arms is None else arms.when(F.col("layout") == layout, F.array(*cells))
+    d = read(spark, sf_dir, "orders").withColumn("layout", pick(F.col("o_orderkey") % 6, _LAYOUT_NAMES))
+    return layouts.rename_columns(d.select(F.col("o_custkey").alias("deal_key"), F.col("o_orderkey").alias("row"), "layout", F.inline(arms)))
+
+
+@query("""
+SELECT l_orderkey AS deal_key, l_linenumber % 2 AS "section", count(*) AS lines, CASE WHEN l_orderkey % 3 = 0 THEN 'N' WHEN l_orderkey % 3 = 1 THEN 'partial' ELSE 'Y' END AS "match" FROM lineitem GROUP BY 1, 2""")
+def section_subtotals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of sections against their Sub Totals, of which every third order lacks them and every third is off."""
+    d = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("deal_key"), (F.col("l_linenumber") % 2).alias("section"), F.col("l_extendedprice").alias("beginning_balance"))
+    stated = d.filter("deal_key % 3 <> 1").groupBy("deal_key", "section").agg((F.sum("beginning_balance") + F.when(F.col("deal_key") % 3 == 0, 1.0).otherwise(0.0)).alias("beginning_balance"))
+    return layouts.section_sums(d, stated).select("deal_key", "section", "lines", "match")
+
+
+@query("""
+SELECT l_orderkey AS deal_key, l_partkey % 3 AS page, count(*) AS labels, count_if(l_linenumber <> 3) AS bands, CASE WHEN count_if(l_linenumber = 3) > 0 THEN 'N' ELSE 'Y' END AS "match" FROM lineitem GROUP BY 1, 2""")
+def label_band_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels against bands of a page, the third line without a band."""
+    d = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("deal_key"), (F.col("l_partkey") % 3).alias("page"), F.explode(F.when(F.col("l_linenumber") == 3, F.array(F.lit("label"))).otherwise(F.array(F.lit("label"), F.lit("band")))).alias("kind"))
+    return layouts.band_counts(d)
+
+
+@query("""
+SELECT l_orderkey AS deal_key, l_returnflag AS economic, count(*) AS lines, CASE l_orderkey % 4 WHEN 0 THEN 'Y' WHEN 1 THEN 'Y' WHEN 2 THEN 'N' ELSE 'partial' END AS "match" FROM lineitem GROUP BY 1, 2""")
+def listing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings against primary rows (off by one in two orders of four, missing in one) and printed totals (right in one of those)."""
+    d = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("deal_key"), F.col("l_returnflag").alias("economic"), F.col("l_extendedprice").alias("amount"))
+    sums, k = d.groupBy("deal_key", "economic").agg(F.sum("amount").alias("amount")), F.col("deal_key") % 4
+    primary = sums.filter(k != 3).withColumn("amount", F.col("amount") + F.when(k == 0, 0.0).otherwise(1.0))
+    return layouts.listing_sums(d, primary, sums.filter(k == 1)).select("deal_key", "economic", "lines", "match")
+
+
+@query("""
+SELECT l_orderkey AS deal_key, f.field, count(*) AS lines, CASE WHEN f.field = 'principal_payment' AND l_orderkey % 2 = 0 THEN 'N' ELSE 'Y' END AS "match" FROM lineitem, (VALUES ('principal_payment'), ('interest_payment')) f(field) GROUP BY 1, 2""")
+def totals_row_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals rows against their detail, principal off in even orders."""
+    d = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("deal_key"), F.lit(False).alias("is_total"), F.col("l_extendedprice").alias("principal_payment"), F.col("l_quantity").alias("interest_payment"))
+    off = F.when(F.col("deal_key") % 2 == 0, 1.0).otherwise(0.0)
+    total = d.groupBy("deal_key").agg(F.lit(True).alias("is_total"), (F.sum("principal_payment") + F.first(off)).alias("principal_payment"), F.sum("interest_payment").alias("interest_payment"))
+    return layouts.totals_rows(d.unionByName(total), ["principal_payment", "interest_payment"]).select("deal_key", "field", "lines", "match")
+
+
+_FEE_CODES = ["DEFERRED_SENIOR_MANAGEMENT_FEES_2", "retention_fee_b1", "retention_fees_3", "apex_revolver", "interest_diversion_cure", " tax_gross_amounts ", "hedge_fees", "other_fees_02", "unheard_of_fees"]
+_BANDS_SQL = "['management', 'retention', 'retention', 'reserve', 'reserve', 'administrative', 'hedge', 'other', NULL]"
+
+
+@query(f"SELECT {_BANDS_SQL}[CAST(p_partkey % 9 AS INTEGER) + 1] AS band, count(*) AS lines FROM part GROUP BY 1")
+def fee_band_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fee codes by the six bands."""
+    d = read(spark, sf_dir, "part").select(pick(F.col("p_partkey") % len(_FEE_CODES), _FEE_CODES).alias("fee_type"))
+    return layouts.band_fees(d).groupBy("band").agg(F.count(F.lit(1)).alias("lines"))
+
+
 # --- fees -------------------------------------------------------------------------------------
 
 

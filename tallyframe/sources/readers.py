@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,12 +104,32 @@ def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame
     return spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load()
 
 
-def reports_of_deals(reports: DataFrame, deals: DataFrame, date: Column | None = None) -> DataFrame:
-    """Reports left joined with their deals, sent ones of note-valuation or waterfall kind, of one date."""
-    d = reports.join(deals, "deal_id", "left")
-    kind = F.lower(F.coalesce("report_type", F.lit("")))
-    d = d.filter(kind.like("%note%valuation%") | kind.like("%waterfall%") | kind.like("%payment%"))
-    return d if date is None else d.filter(F.col("payment_date").cast("date") == date)
+def wanted_report(now: Column | None = None) -> Column:
+    """Whether a row of reports ``r`` left joined with deals ``ad`` is a payable, unsent report that may be sent, as in the source query.
+
+    Text is compared without case and spaces at the end, as the database
+    does. A test of a missing value does not hold, so that a row without a
+    report type is never wanted.
+    """
+    low = lambda c: F.rtrim(F.lower(F.col(c).cast("string")))
+    kind, file, trustee = low("r.report_type"), low("r.trustee_file_name"), low("r.trustee")
+    has = lambda c, patterns: functools.reduce(lambda x, y: x | y, [c.like(p) for p in patterns])
+    pdf = (low("r.report_format") == "pdf") & has(kind, ["quarterly%", "note%", "%waterfall%", "%payment%", "%noteval%"])
+    by_file = (trustee == "cdomonitoring") & has(file, ["%quarterly%", "%note%", "%waterfall%", "%payment%"]) & ~file.like("%notice%")
+    summary = (kind == "investor report - summary") & (trustee == "bony")
+    day = F.col("r.payment_date").cast("timestamp")
+    return (
+        (F.col("r.sent").try_cast("int") == 0) & (F.col("ad.send_dm").try_cast("int") == 1) & (pdf | by_file | summary)
+        & ~kind.like("%notice%") & (kind != "noteholder updates") & day.isNotNull() & (day <= (F.current_timestamp() if now is None else now))
+    )
+
+
+def reports_of_deals(reports: DataFrame, deals: DataFrame, date: Column | None = None, deal: Column | None = None, now: Column | None = None) -> DataFrame:
+    """S3: reports left joined with their deals, those that ``wanted_report`` takes, of one date and one deal if given."""
+    d = reports.alias("r").join(deals.alias("ad"), "deal_id", "left").filter(wanted_report(now))
+    if deal is not None:
+        d = d.filter(F.col("deal_id") == deal)
+    return d if date is None else d.filter(F.col("r.payment_date").cast("date") == date)
 
 
 def unpivot_ids(master: DataFrame, id_col: str, codes: list[str]) -> DataFrame:

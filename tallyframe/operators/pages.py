@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +74,62 @@ def only_pages(text: Column, pages: Column) -> Column:
     return F.when(F.size(pages) <= 0, text).otherwise(S.let(kept, lambda k: F.when(F.size(k) > 0, F.concat(F.lit("[Index filter: selected pages only]\n\n"), F.array_join(F.transform(k, lambda p: p["text"]), "\n\n"), F.lit("\n"))).otherwise(text)))
 
 
+MARK_LINE = r"(?mdU)^--- Page \d+ of \d+ ---\s*$"
+#: Hints of deliverable 02; their texts are the caller's.
+HINTS_02 = ["interest_payable_to", "distribution_us", "deutsche_rate", "deutsche_factor", "deutsche_interest_detail"]
+
+
+def _annotated(text: Column, hint: Callable[[Column, Column], Column]) -> Column:
+    """Hints after the marker line of each page that has any; in front of a text without markers."""
+    sections = F.filter(F.split(text, r"(?mdU)(?=^--- Page \d+ of \d+ ---\s*$)"), lambda x: x.rlike(r"\A" + MARK_LINE))
+
+    def one(x: Column) -> Column:
+        page = F.regexp_extract(x, PAGE_MARK, 1).try_cast("int")
+        body = F.regexp_replace(x, r"\A" + MARK_LINE, "")
+        marked = lambda h: F.concat(F.regexp_extract(x, r"\A(--- Page \d+ of \d+ ---)", 1), F.lit("\n\n"), h, F.regexp_replace(body, r"\A\n+", ""))
+        return S.let(hint(body, page), lambda h: F.when(h == "", x).otherwise(marked(h)))
+
+    return S.let(sections, lambda found: F.when(F.size(found) > 0, F.array_join(F.transform(found, one), "\n\n")).otherwise(F.concat(hint(text, F.lit(None).cast("int")), text)))
+
+
+def annotate_02(text: Column, hints: dict[str, str], previews: Column | None = None) -> Column:
+    """a chunk with the hints of ``HINTS_02`` after the markers of the pages they are for.
+
+    ``previews`` (``page, preview`` rows of the index) also tell pages of the
+    distribution exhibit; of several previews of a page the last counts.
+    """
+    low = F.lower(text)
+    deutsche = F.contains(low, F.lit("deutsche bank")) & S.any_of(low, ["distribution in us$", "interest detail", "factor information per 1000", "distribution of interest proceeds"])
+    says = lambda key: F.lit(hints[key])
+
+    def hint(body: Column, page: Column) -> Column:
+        b = F.lower(body)
+        dense = F.regexp_replace(b, r"(?U)\s+", "")
+        every = lambda c, *words: functools.reduce(lambda x, y: x & y, [F.contains(c, F.lit(w)) for w in words])
+        dist = F.contains(b, F.lit("distribution in us")) | every(b, "prior principal", "current principal") | every(dense, "priorprincipalbalance", "currentprincipalbalance")
+        if previews is not None:
+            p = F.lower(F.coalesce(F.try_element_at(F.filter(previews, lambda x: x["page"] == page), F.lit(-1))["preview"], F.lit("")))
+            dist = dist | F.contains(p, F.lit("distribution in us")) | S.any_of(F.replace(p, F.lit(" "), F.lit("")), ["facevaluefacevaluebalance", "facevaluebalanceinterest"])
+        payable = F.contains(b, F.lit("interest payable to")) & S.any_of(b, ["notes"])
+        other = F.when(F.contains(b, F.lit("factor information per 1000")) | every(b, "coupon rates", "class cusip"), says("deutsche_factor")).when(every(dense, "interestdetail", "interestpaid"), says("deutsche_interest_detail")).otherwise("")
+        main = F.when(dist, F.concat(says("distribution_us"), F.when(deutsche, says("deutsche_rate")).otherwise(""))).when(deutsche, other).otherwise("")
+        return F.concat(F.when(payable, says("interest_payable_to")).otherwise(""), main)
+
+    return _annotated(text, hint)
+
+
+def annotate_03(text: Column, hint: str) -> Column:
+    """a chunk with the hint after the markers of pages that hold the grid of administrative expenses."""
+
+    def grid(body: Column, _: Column) -> Column:
+        b = F.lower(body)
+        lead = b.rlike(r"(?U)\(i\)\s+trustee")
+        has = F.contains(b, F.lit("administrative cap and expenses")) | (lead & (F.contains(b, F.lit("administrative expenses cap")) | b.rlike(r"(?U)\badministrative\s+expenses\b")))
+        return F.when(has & ~S.any_of(b, ["distribution of interest proceeds", "available optimal paid"]), hint).otherwise("")
+
+    return _annotated(text, grid)
+
+
 def score_page(target: str, preview: Column, page: Column) -> Column:
     """Additive keyword score of an index line for one deliverable; pages from 2.0 are read."""
     b = F.lower(preview)

@@ -27,6 +27,20 @@ def first_code(candidates: DataFrame, codes: DataFrame, key: list[str]) -> DataF
     return g.select(*key, F.when(F.col("hit.id").isNotNull(), "ok").when(F.col("many"), "ambiguous").alias("status"), F.col("hit.id").alias("tranche_id"), F.when(F.col("hit.id").isNotNull(), F.col("hit.code")).alias("matched_code"))
 
 
+def master_rows(classes: DataFrame, master: DataFrame, order: str | None = None) -> DataFrame:
+    """Classes (``deal_key, tranche_id``) with their row of the master table as ``master``, and ``master_id``.
+
+    Ids are compared without spaces at the ends. Without an id or a row the
+    struct is null and the id empty; of several rows of an id the last in
+    ``order`` counts (the greatest row without one).
+    """
+    row = F.struct(*[F.col(c) for c in master.columns])
+    d = master.select(S.strip(F.col("deal_key").cast("string")).alias("__d"), S.strip(F.col("tranche_id").cast("string")).alias("__t"), row.alias("master"), F.struct(*([F.col(order)] if order else []), row).alias("__o"))
+    d = d.filter("__t <> ''").groupBy("__d", "__t").agg(F.max_by("master", "__o").alias("master"), F.first("__t").alias("master_id"))
+    d = classes.withColumns({"__d": S.strip(F.col("deal_key").cast("string")), "__t": S.strip(F.col("tranche_id").cast("string"))}).join(d, ["__d", "__t"], "left").drop("__d", "__t")
+    return d.withColumn("master_id", F.coalesce("master_id", F.lit("")))
+
+
 def first_variant(variants: DataFrame, names: DataFrame, key: list[str]) -> DataFrame:
     """Tier 2: the first variant with any registered name decides.
 

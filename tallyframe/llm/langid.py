@@ -3,33 +3,36 @@
 from __future__ import annotations
 
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import seeded, short_batches
+from tallyframe.llm.common import materialize, seeded, short_batches
 from tallyframe.llm.tokens import MAX_CHUNKS, Memo, worker_cache
 
 #: Documents of each language the fit reads at most (about; drawn by hash).
 MAX_DOCS = 3_000
-#: Words kept for each language, by frequency.
+#: Known words kept for each language, by frequency; n-grams are counted over all words.
 MAX_WORDS = 30_000
 MAX_N = 5
+#: Words and n-grams seen less often in the sampled rows, over all languages, are left to shorter n-grams.
+MIN_WORD, MIN_GRAM = 2, 5
 LETTERS = regex.compile(r"\p{L}+")
 
 
 def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, seed: int = 13, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """Fit word and n-gram log frequencies from a bounded sample of labelled documents.
 
-    Rows without language or text take no part. Words are counted in Spark;
-    the driver gets at most ``max_words`` words of each language, and derives
-    the n-gram counts from them.
+    Rows without language or text take no part. Words, and the n-grams of
+    all words of the sampled rows, are counted in Spark. The driver gets the
+    words among the ``max_words`` most frequent of any language, and the
+    n-grams seen often enough to say something.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     n = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -38,30 +41,29 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS,
         share = F.when(F.col("lang") == lang, int(2**60 * min(1.0, max_docs / k))).otherwise(share)
     d = d.filter(seeded(seed, F.col("id")) < share)
     words = d.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word <> ''")
-    words = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    top = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= max_words)
-    return fit([(r["lang"], r["word"], r["n"]) for r in top.select("lang", "word", "n").collect()])
-
-
-def fit(counts: list[tuple[str, str, int]]) -> dict:
-    """Log frequencies, add-half smoothed, of words and of n-grams of each length."""
-    langs = sorted({lang for lang, _, _ in counts})
-    at = {lang: i for i, lang in enumerate(langs)}
-    tables: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(langs))) for _ in range(MAX_N + 1)]
-    for lang, word, n in sorted(counts):
-        tables[0][word][at[lang]] += n
-        padded = f" {word} "
-        for k in range(1, MAX_N + 1):
-            grams = tables[k]
-            for i in range(len(padded) - k + 1):
-                grams[padded[i : i + k]][at[lang]] += n
-    model = {"langs": langs, "tables": []}
-    for k, grams in enumerate(tables):
-        keep = [g for g, v in grams.items() if v.sum() >= (2 if k == 0 else 5)]
-        counts_of = np.array([grams[g] for g in keep]).reshape(len(keep), len(langs))
-        logs = np.log(counts_of + 0.5) - np.log(counts_of.sum(0) + 0.5 * max(1, len(keep)))
-        model["tables"].append((keep, logs.astype(np.float32)))
-    return model
+    words = materialize(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words")
+    langs = sorted(n)
+    of_langs = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+    ranked = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    top = ranked.groupBy(F.col("word").alias("gram")).agg(*of_langs, F.min("r").alias("r"), F.sum("n").alias("n")).filter((F.col("r") <= max_words) & (F.col("n") >= MIN_WORD)).drop("r", "n")
+    padded = words.select("lang", "n", F.concat(F.lit(" "), "word", F.lit(" ")).alias("w")).withColumn("size", F.length("w"))
+    # every start takes the n-grams of all lengths that fit
+    starts = padded.select("lang", "n", "w", "size", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("i"))
+    lengths = starts.select("lang", "n", "w", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_N), F.col("size") - F.col("i") + 1))).alias("k"))
+    grams = lengths.select("lang", "n", F.substring("w", F.col("i"), F.col("k")).alias("gram")).groupBy("gram").agg(*of_langs, F.sum("n").alias("n")).filter(F.col("n") >= MIN_GRAM).drop("n")
+    tables: list[tuple[list[str], np.ndarray]] = []
+    counted = grams.toArrow() if langs else None
+    size = pc.utf8_length(counted["gram"]) if langs else None
+    for k in range(MAX_N + 1):
+        found = (top.toArrow() if k == 0 else counted.filter(pc.equal(size, k))).sort_by("gram") if langs else None
+        keys = found["gram"].to_pylist() if langs else []
+        tables.append((keys, np.array([found[f"n{i}"].to_numpy() for i in range(len(langs))], float).reshape(len(langs), len(keys)).T))
+    return {"langs": langs, "tables": [(keys, log_shares(counts)) for keys, counts in tables]}
+
+
+def log_shares(counts: np.ndarray) -> np.ndarray:
+    """Log frequencies, add-half smoothed, of rows of counts by language."""
+    return (np.log(counts + 0.5) - np.log(counts.sum(0) + 0.5 * max(1, len(counts)))).astype(np.float32)
 
 
 class Scorer:

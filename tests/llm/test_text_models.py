@@ -213,3 +213,12 @@ def test_html_narrow_host_path_loses_nothing():
     narrow = "html>body>article>div.entry-content"
     assert extract_text(page, narrow) == extract_text(page, None)
     assert extract_text(page, narrow).startswith("Title\nlead")
+
+
+def test_language_ngrams_are_counted_over_all_words(spark):
+    docs = spark.createDataFrame([(1, "aba " * 9 + "zqx " * 6, "xx"), (2, "bab " * 9 + "wvk " * 6, "yy")], "doc_id long, text string, lang string")
+    model = langid.train(docs, max_words=1)
+    assert model["tables"][0][0] == ["aba", "bab"]  # the known words are bounded
+    assert {"zqx", " zqx ", "wvk"} <= {g for keys, _ in model["tables"] for g in keys}
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(spark.createDataFrame([(1, "zqx"), (2, "wvk")], "doc_id long, text string"), model).collect()}
+    assert got == {1: "xx", 2: "yy"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ def _finish(edges: DataFrame) -> DataFrame:
     return materialize(edges.filter("u <> v").distinct(), "stars")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``node, component`` for every node of ``edges(a, b)``: the smallest node reachable.
 
     Edges with a null end are ignored; loops make their node a component of
@@ -25,11 +27,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round joins every node with its smallest neighbour (a map-side
     combined minimum) and writes the new edges to the shared folder, so the
     lineage stays short. Stars at least halve the path lengths; a hub is
-    spread over tasks, as its edges are joined with one row.
+    spread over tasks, as its edges are joined with one row. Rounds go on
+    until one changes nothing; it raises if ``max_rounds`` are given and don't do.
     """
     e = _finish(edges.filter("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     state = None
-    for _ in range(max_rounds):
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = _least_neighbour(both).select("u", F.least("u", "m").alias("m"))
         e = both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -42,4 +45,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -176,3 +176,11 @@ def test_exact_links_span_what_all_pairs_span():
 def test_materialized_frames_keep_rows(spark):
     d = spark.range(10).withColumn("x", F.lit(None).cast("string"))
     assert Counter(r["id"] for r in materialize(d, "t").collect()) == Counter(range(10))
+
+
+def test_components_never_return_unsettled(spark):
+    path = spark.createDataFrame([((7 * i) % 101, (7 * (i + 1)) % 101) for i in range(100)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        connected_components(path, max_rounds=1)
+    got = connected_components(path).collect()
+    assert len(got) == 101 and {r["component"] for r in got} == {0}

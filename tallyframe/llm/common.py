@@ -32,12 +32,54 @@ def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_or_shuffled(small: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark a materialised frame for broadcast if its counted rows are within the bound."""
     n = small.count() if rows is None else rows
     return F.broadcast(small) if n <= BROADCAST_ROWS else small
 
 
+def hot_size(groups: DataFrame, size: str) -> int:
+    """A size (a power of two, 256 at least) that at most ``BROADCAST_ROWS`` rows of ``groups`` exceed.
+
+    Decided from a histogram over the binary logarithm of the size: 64 rows at most reach the driver.
+    """
+    found = groups.filter(F.col(size) > 256).groupBy(F.floor(F.log2(F.col(size))).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()
+    above, least = 0, 256
+    for r in sorted(found, key=lambda r: -r["k"]):
+        above += r["n"]
+        if above > BROADCAST_ROWS:
+            return 2 ** (r["k"] + 1)
+    return least
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with the one row that the materialised ``groups`` hold per key.
+
+    ``size`` is the column of ``groups`` that says how many rows share the
+    key. If all groups are few they are broadcast. Otherwise only the hot
+    ones are, as many as the bound allows, and the rest meets by a shuffle in
+    which no key has more rows than the hot ones: a group with a third of all
+    rows never lands in one task.
+    """
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), key, how)
+    least = hot_size(groups, size)
+    hot, rest = F.broadcast(groups.filter(F.col(size) >= least)), groups.filter(F.col(size) < least)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key, how))
+
+
 def drop_rows(df: DataFrame, drops: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``df`` whose keys (null-safe) are not in the materialised frame ``drops``."""
     right = small_or_shuffled(drops.select(*[F.col(k).alias(f"__drop_{k}") for k in keys]))
@@ -48,6 +90,26 @@ def drop_rows(df: DataFrame, drops: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(right, cond, "left_anti")
 
 
+def keep_marked(docs: DataFrame, marked: DataFrame, keys: list[str], drops: DataFrame, repeats: DataFrame) -> DataFrame:
+    """``docs`` without the rows named by ``drops``, and one row of each key in ``repeats``.
+
+    ``marked`` is ``docs`` with the key columns ``keys`` added; both other
+    frames hold these keys and are materialised. Rows with equal keys are
+    equal in id and text. The texts are shuffled only where the named rows are
+    too many to be broadcast.
+    """
+    rest = drop_rows(marked, drops, keys)
+    if (n := repeats.count()):
+        mine = small_or_shuffled(repeats.select(*[F.col(k).alias(f"__same_{k}") for k in keys]), n)
+        same = None
+        for k in keys:
+            c = rest[k].eqNullSafe(mine[f"__same_{k}"])
+            same = c if same is None else same & c
+        once = rest.join(mine, same, "left_semi").dropDuplicates(keys)
+        rest = drop_rows(rest, repeats, keys).unionByName(once)
+    return rest.select(*docs.columns)
+
+
 def seeded(seed: int, id_col: Column) -> Column:
     """A 60-bit non-negative pseudo-random long decided by seed and id alone (null id: 'null')."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import drop_rows, materialize, small_or_shuffled
+from tallyframe.llm.common import join_groups, keep_marked, materialize, small_or_shuffled, unused
 
 
 def content_hash(text: Column) -> Column:
@@ -31,7 +31,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups are counted with map-side combine, so a group holding a third of
     all rows is one row per task. Only groups with two or more rows are
     checked byte by byte: their texts meet in ``min``/``max``, again combined
-    before the shuffle. Should two texts ever share a hash, the rows of that
+    before the shuffle. The counts come back by a join in which large groups
+    are broadcast, so their rows are never gathered. Should two texts ever share a hash, the rows of that
     hash are grouped by the text itself.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
@@ -48,7 +49,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if (n_odd := odd.count()):
             collided = small_or_shuffled(odd, n_odd)
     out = digests if collided is None else digests.join(collided, "__h", "left_anti")
-    out = _decide(out.join(many, "__h", "left"))
+    out = _decide(join_groups(out, many, "__h", "group_size", "left"))
     if collided is not None:
         rows = d.join(collided, "__h", "left_semi")
         by_text = rows.groupBy("__t").agg(*group)
@@ -69,14 +70,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     where the dropped rows are too many to be broadcast.
     """
     decided = materialize(exact_dedup(docs, id_col, text_col, keep), "decisions")
-    marked = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).withColumn("__id", F.col(id_col))
-    drops = materialize(decided.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "drops")
-    rest = drop_rows(marked, drops, ["__id", "__sha"])
+    keys = unused(docs, "__id", "__sha")
+    named = [F.col("doc_id").alias(keys[0]), F.col("text_sha256").alias(keys[1])]
+    marked = docs.withColumns({keys[0]: F.col(id_col), keys[1]: F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)})
+    drops = materialize(decided.filter("not kept").select(*named), "drops")
     twice = decided.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    twice = materialize(twice.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "repeats")
-    if twice.count():
-        mine = twice.select(F.col("__id").alias("__i"), F.col("__sha").alias("__s"))
-        same = rest["__id"].eqNullSafe(mine["__i"]) & (rest["__sha"] == mine["__s"])
-        once = rest.join(small_or_shuffled(mine), same, "left_semi").dropDuplicates(["__id", "__sha"])
-        rest = drop_rows(rest, twice, ["__id", "__sha"]).unionByName(once)
-    return rest.select(*docs.columns)
+    return keep_marked(docs, marked, keys, drops, materialize(twice.select(*named), "repeats"))

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import materialize, short_batches, small_or_shuffled
+from tallyframe.llm.common import join_groups, keep_marked, materialize, short_batches, small_or_shuffled, unused
 from tallyframe.llm.components import connected_components
 from tallyframe.llm.tokens import MAX_CHUNKS, Memo
 
@@ -20,8 +20,10 @@ BANDS = 32
 #: Chance that a pair exactly at the threshold meets in no band.
 MAX_MISS = 1e-5
 #: Rows, and shingles, that one block of a large bucket or cluster holds.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
 BLOCK_SHINGLES = 400_000
+#: Rows of a group of several blocks that meet every block.
+ANCHORS = 8
 
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 S30, S27, S31, S32 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(32)
@@ -125,14 +127,15 @@ def rows_per_band(percent: int, bands: int = BANDS, miss: float = MAX_MISS) -> i
     return r
 
 
-def forest(alike, n: int) -> list[tuple[int, int]]:
+def forest(alike, n: int, ask: list[int] | None = None) -> list[tuple[int, int]]:
     """Spanning edges of a graph on 0..n-1 whose ``alike(i)`` is the boolean row of i's links.
 
-    Rows are asked one by one, and none any more once all are one group.
+    Rows (those in ``ask``) are asked one by one, and none any more once all
+    are one group.
     """
     label = np.arange(n)
     groups, edges = n, []
-    for i in range(n):
+    for i in range(n) if ask is None else ask:
         if groups == 1:
             break
         other = np.flatnonzero(alike(i) & (label != label[i]))
@@ -144,8 +147,11 @@ def forest(alike, n: int) -> list[tuple[int, int]]:
     return edges
 
 
-def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning edges of the pairs with 100 * intersection >= percent * union, from full sets."""
+def exact_links(sets: list[np.ndarray], percent: int, ask: list[int] | None = None) -> list[tuple[int, int]]:
+    """Spanning edges of the pairs with 100 * intersection >= percent * union, from full sets.
+
+    With ``ask``, of the pairs that hold one of these sets.
+    """
     n = np.array([len(s) for s in sets], np.int64)
     if len(sets) == 2:
         inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
@@ -164,7 +170,7 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         inter = np.bitwise_count(bits & bits[i]).sum(1, dtype=np.int64)
         return 100 * inter >= percent * (n + n[i] - inter)
 
-    return forest(alike, len(sets))
+    return forest(alike, len(sets), ask)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -191,56 +197,116 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _starts(table: pa.Table, keys: int) -> np.ndarray:
-    new = np.zeros(table.num_rows, bool)
-    new[:1] = True
-    for k in range(keys):
-        c = table.column(k).to_numpy()
-        new[1:] |= c[1:] != c[:-1]
-    return np.append(np.flatnonzero(new), table.num_rows)
-
-
-def _binary(column) -> list[bytes]:
-    return column.to_pylist()
-
-
-def _edges(a: list, b: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _blocked(rows: DataFrame, key: str, blocks: str) -> DataFrame:
-    """Each row once for every pair of blocks that holds its own; ``i <= j`` name the pair."""
-    own = F.pmod(F.xxhash64("doc_id"), F.col(blocks)).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int"))))
-    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-
-
-def near_dedup(docs: DataFrame, words: int = 3, percent: int = 85, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
-
-    Texts are lower-cased (A-Z) and cut into words at ASCII white space; a
-    document's set holds its distinct shingles of ``words`` words, or its
-    whole sequence where it has fewer. Documents are linked when 100 *
-    intersection >= ``percent`` * union on full sets; a component's smallest
-    id is kept.
-
-    Edge cases: null or empty text, or white space alone, has no shingles
-    and is linked with nothing; rows that repeat an id and text get equal
-    rows; a row without id joins the component of its equals (null if all
-    are without); an empty table gives an empty result.
+def _linked(batches: Iterator[pa.RecordBatch], links: Callable[[list[bytes], list[int] | None], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """Edges of each group of rows ``(key, i, j, node, asked, payload)`` sorted by the first three."""
+    for table in _groups(batches, 3):
+        nodes, asked, load = table.column(3).to_numpy(), table.column(4).to_numpy(), table.column(5).to_pylist()
+        new = np.ones(table.num_rows, bool)
+        for k in range(3):
+            c = table.column(k).to_numpy()
+            new[1:] &= c[1:] == c[:-1]
+        new[1:] = ~new[1:]
+        starts = np.append(np.flatnonzero(new), table.num_rows).tolist()
+        found: set[tuple[int, int]] = set()
+        for lo, hi in zip(starts[:-1], starts[1:]):
+            # an anchor is also a row of its own block, and a row may have come more than once
+            first: dict[int, int] = {}
+            ask: dict[int, int] = {}
+            for r in range(lo, hi):
+                at = first.setdefault(int(nodes[r]), len(first))
+                if asked[r]:
+                    ask[at] = r
+            if len(first) < 2 or not ask:
+                continue
+            own, rows = list(first), {}
+            for r in range(lo, hi):
+                rows.setdefault(first[int(nodes[r])], load[r])
+            for i, j in links([rows[k] for k in range(len(own))], None if len(ask) == len(own) else list(ask)):
+                found.add((own[i], own[j]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], names=["a", "b"])
+
+
+def _block(node: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(node), blocks).cast("int")
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j", "node")
+
+
+def _spanning(rows: DataFrame, load: Callable[[DataFrame], DataFrame], links: Callable) -> DataFrame:
+    """``node, component``: components of the links inside the groups of ``rows(key, node, blocks)``.
+
+    ``load`` adds the binary column ``payload`` to rows with a ``node``;
+    ``links`` finds spanning edges among payloads.
+
+    A group of one block is one unit of work. A larger one is dealt into its
+    blocks by a hash of the node, and eight anchors (the least nodes of eight hash
+    classes) meet every block, so n rows move n * (1 + 8 / block) times. What is then
+    one component needs no further look inside. Rows of a large group outside its
+    largest component, the rest, are asked against all rows of the group, block by
+    block. So every pair of a group is either in one component or looked at,
+    and no group is gathered in one task.
+    """
+    rows = materialize(rows, "groups")
+    big = rows.filter("blocks > 1")
+    salt = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(ANCHORS))
+    anchors = materialize(big.groupBy("key", salt.alias("salt")).agg(F.min("node").alias("node")).select("key", "node", F.lit(True).alias("anchor")), "anchors")
+    n_anchors = anchors.count()
+    own = F.array(_block("node", F.col("blocks")))
+    if n_anchors:
+        dealt = rows.join(small_or_shuffled(anchors, n_anchors), ["key", "node"], "left")
+        dealt = dealt.withColumn("parts", F.when(F.col("anchor"), F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).otherwise(own))
+    else:
+        dealt = rows.withColumn("parts", own)
+    dealt = load(dealt).select("key", F.explode("parts").alias("i"), F.lit(0).alias("j"), "node", F.lit(True).alias("asked"), "payload")
+    edges = _sorted(dealt).mapInArrow(lambda batches: _linked(batches, links), "a long, b long")
+    stars = connected_components(edges)
+    if not n_anchors:
+        return stars
+    of = big.join(stars, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    of = materialize(of, "large-groups")
+    sizes = of.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    heads = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("head"), F.sum("n").alias("n")).withColumn("rest", F.col("n") - F.col("head.n"))
+    heads = heads.filter("rest > 0").select("key", F.col("head.component").alias("head"), F.ceil(F.col("n") / (4 * BLOCK_ROWS)).alias("rows"), F.ceil(F.col("rest") / (4 * BLOCK_ROWS)).alias("asks"))
+    heads = materialize(heads, "heads")
+    n_heads = heads.count()
+    if not n_heads:
+        return stars
+    here = of.join(small_or_shuffled(heads, n_heads), "key")
+    row, ask = _block("node", F.col("rows")), _block("node", F.col("asks"))
+    every = lambda n: F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))
+    one = F.transform(every("asks"), lambda j: F.struct(row.alias("i"), j.alias("j"), F.lit(False).alias("asked")))
+    two = F.transform(every("rows"), lambda i: F.struct(i.alias("i"), ask.alias("j"), F.lit(True).alias("asked")))
+    here = here.withColumn("parts", F.when(F.col("component") == F.col("head"), one).otherwise(F.concat(one, two))).select("key", "node", "parts")
+    here = load(here).select("key", "node", "payload", F.explode("parts").alias("part")).select("key", "part.i", "part.j", "node", "part.asked", "payload")
+    more = _sorted(here).mapInArrow(lambda batches: _linked(batches, links), "a long, b long")
+    return connected_components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return np.array([mix(s).sum(dtype=np.uint64), mix(s ^ M3).sum(dtype=np.uint64)]).tobytes()
+
+
+def near_groups(docs: DataFrame, words: int = 3, percent: int = 85, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text_key, text_key2, n_shingles, component_id, component`` for every row of ``docs``.
+
+    See :func:`near_dedup`. ``component`` is the number of the component among
+    those of two rows or more, whatever their ids (null: the row is alone);
+    ``text_key`` and ``text_key2`` are two 64-bit hashes of the text.
 
     Plan:
     1. One pass writes thin rows: set size, 128-bit digest of the set,
-       sketch bytes, band keys. Equal sets become one class, represented by
-       the smallest id (map-side combined), so exact copies cost nothing more.
-    2. Band keys shared by two or more representatives form buckets. Buckets
-       meet sorted by key; sketches close enough are joined by spanning
-       edges, never by all pairs. A bucket of more than 1,024 rows is split
-       into blocks, and pairs of blocks are tasks of bounded size.
-    3. Components of those edges are candidate clusters. Only clustered
-       representatives read their text again; full sets meet by cluster
-       (split by rows and shingles in the same way) and are verified exactly,
-       one row of the bit matrix at a time until the block is one group.
+       sketch bytes, band keys. Equal sets become one class with a number of its own
+       (map-side combined), so exact copies cost nothing more. Links join
+       classes, never ids: an id is only looked at for the smallest of a component.
+    2. Band keys shared by two or more classes form buckets, whose sketches
+       close enough are joined by spanning edges (see ``_spanning``), never by all pairs.
+    3. Components of those edges are candidate clusters. Only a clustered class
+       reads one of its texts again; the full sets meet by cluster and
+       are verified exactly, one row of the bit matrix at a time until a
+       block is one group.
     4. Components of the verified links give the result.
     """
     spark = docs.sparkSession
@@ -249,19 +315,20 @@ def near_dedup(docs: DataFrame, words: int = 3, percent: int = 85, bands: int =
     t = bands * per_band
     p = percent / 100
     close = math.floor(t * max(0.0, p - 6 * math.sqrt(p * (1 - p) / t)))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), F.xxhash64(F.lit(1), text).alias("text_key2"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sketcher = Shingler(words), Sketcher(t)
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64) * M3)
         for b in batches:
-            sets = shingler.batch(b.column(1).cast(pa.binary()).to_pylist())
+            sets = shingler.batch(b.column(2).cast(pa.binary()).to_pylist())
             digests, sketches, keys = [], [], []
             for s in sets:
                 if not len(s):
                     digests.append(None), sketches.append(None), keys.append(None)
                     continue
-                digests.append(np.array([mix(s).sum(dtype=np.uint64), mix(s ^ M3).sum(dtype=np.uint64)]).tobytes())
+                digests.append(_digest(s))
                 v = sketcher.sketch(s)
                 sketches.append((v & np.uint64(255)).astype(np.uint8).tobytes())
                 v = v.reshape(bands, per_band)
@@ -270,75 +337,114 @@ def near_dedup(docs: DataFrame, words: int = 3, percent: int = 85, bands: int =
                     acc = mix(acc * M3 + v[:, i])
                 keys.append(acc.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "sketch", "bands"],
+                [b.column(0), b.column(1), b.column(3), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "text_key2", "n_shingles", "digest", "sketch", "bands"],
             )
 
-    thin = materialize(d.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, sketch binary, bands array<long>"), "sketches")
-    classes = materialize(thin.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = thin.filter("n_shingles > 0").join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
-    reps = materialize(reps.select("doc_id", "n_shingles", "sketch", "bands"), "representatives")
-
-    keyed = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    buckets = buckets.select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
-    rows = _blocked(keyed.join(buckets, "key"), "key", "blocks")
-    rows = rows.join(reps.select("doc_id", "sketch"), "doc_id").select("key", "i", "j", "doc_id", "sketch")
-    rows = rows.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j", "doc_id")
-
-    def link_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple[int, int]] = set()
-        for table in _groups(batches, 3):
-            ids = table.column(3).to_numpy()
-            sk = np.frombuffer(b"".join(_binary(table.column(4))), np.uint8).reshape(-1, t)
-            starts = _starts(table, 3)
-            size = np.diff(starts)
-            two = starts[:-1][size == 2]
-            hit = two[(sk[two] == sk[two + 1]).sum(1) >= close]
-            found = set(zip(ids[hit].tolist(), ids[hit + 1].tolist()))
-            for at, n in zip(starts[:-1][size > 2].tolist(), size[size > 2].tolist()):
-                part, own = sk[at : at + n], ids[at : at + n]
-                found.update((int(own[i]), int(own[j])) for i, j in forest(lambda i, part=part: (part == part[i]).sum(1) >= close, n))
-            new = [e for e in found if e not in done and e[0] != e[1]]
-            if len(done) < 200_000:
-                done.update(new)
-            if new:
-                yield _edges([e[0] for e in new], [e[1] for e in new])
-
-    clusters = connected_components(rows.mapInArrow(link_close, "a long, b long"))
-    clusters = materialize(clusters, "clusters")
-    sizes = clusters.join(reps.select(F.col("doc_id").alias("node"), "n_shingles").distinct(), "node").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
-    sizes = sizes.select("component", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).alias("blocks"))
-    members = materialize(clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks"), "members")
-    texts = d.join(small_or_shuffled(members), "doc_id").select("cluster", "blocks", "doc_id", "text")
+    thin = materialize(d.mapInArrow(sketch, "doc_id long, text_key long, text_key2 long, n_shingles long, digest binary, sketch binary, bands array<long>"), "sketches")
+    # the class's least id, a text of that id, and what all its rows share; ids that are null come last
+    late = F.coalesce("doc_id", F.lit(2**63 - 1))
+    shared = [F.first(c).alias(c) for c in ("n_shingles", "sketch", "bands")]
+    classes = thin.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.min_by("text_key", late).alias("text_key"), F.count(F.lit(1)).alias("copies"), *shared)
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    keyed = classes.select("node", F.explode("bands").alias("key"))
+    buckets = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    rows = join_groups(keyed, buckets, "key", "n").select("key", "node", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
+    sketches = classes.select("node", F.col("sketch").alias("payload"))
+
+    def close_links(load: list[bytes], ask: list[int] | None) -> list[tuple[int, int]]:
+        sk = np.frombuffer(b"".join(load), np.uint8).reshape(-1, t)
+        if len(sk) == 2:
+            return [(0, 1)] if (sk[0] == sk[1]).sum() >= close else []
+        return forest(lambda i: (sk == sk[i]).sum(1) >= close, len(sk), ask)
+
+    clusters = materialize(_spanning(rows, lambda r: r.join(sketches, "node"), close_links).select("node", F.col("component").alias("key")), "clusters")
+    known = classes.select("node", "digest", "least_id", "text_key", "n_shingles").join(clusters, "node")
+    known = materialize(known, "members")
+    sizes = known.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    sizes = materialize(sizes.select("key", "n", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).alias("blocks")), "cluster-sizes")
+    members = join_groups(known.select("key", "node"), sizes, "key", "n").select("key", "node", "blocks")
+    wanted = known.select("node", "digest", F.col("least_id").alias("__id"), F.col("text_key").alias("__key"))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        # rows that repeat an id and text are all read here; one of each class goes on from a task
+        shingler, seen = Shingler(words), set()
         for b in batches:
-            sets = [s.tobytes() for s in shingler.batch(b.column(3).cast(pa.binary()).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sets, pa.binary())], names=["cluster", "blocks", "doc_id", "shingles"])
-
-    sets = texts.mapInArrow(shingle, "cluster long, blocks long, doc_id long, shingles binary")
-    sets = _blocked(sets, "cluster", "blocks").select("cluster", "i", "j", "doc_id", "shingles")
-    sets = sets.repartition(F.col("cluster"), F.col("i"), F.col("j")).sortWithinPartitions("cluster", "i", "j", "doc_id")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 3):
-            ids = table.column(3).to_pylist()
-            raw = [np.frombuffer(x, np.uint64) for x in _binary(table.column(4))]
-            a, b = [], []
-            starts = _starts(table, 3).tolist()
-            for lo, hi in zip(starts[:-1], starts[1:]):
-                if hi - lo > 1:
-                    for i, j in exact_links(raw[lo:hi], percent):
-                        a.append(ids[lo + i])
-                        b.append(ids[lo + j])
-            if a:
-                yield _edges(a, b)
-
-    linked = connected_components(sets.mapInArrow(verify, "a long, b long"))
-    known = classes.join(linked, classes["rep"] == linked["node"], "left").filter("copies > 1 or component is not null")
-    known = materialize(known.select("digest", F.coalesce("component", "rep").alias("component")), "components")
-    out = thin.select("doc_id", "n_shingles", "digest").join(known, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+            sets = shingler.batch(b.column(2).cast(pa.binary()).to_pylist())
+            out = []
+            for k, (node, digest) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                # another text with the same 64-bit hash and id is told by its set
+                if node not in seen and _digest(sets[k]) == digest:
+                    seen.add(node)
+                    out.append(k)
+            rows = b.take(pa.array(out, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[3:], pa.array([sets[k].tobytes() for k in out], pa.binary())], names=["node", *b.schema.names[3:], "payload"])
+
+    def read_sets(rows: DataFrame) -> DataFrame:
+        more = [c for c in rows.columns if c != "node"]
+        chosen = materialize(wanted.join(rows, "node"), "texts-to-read")
+        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
+        kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
+        return d.join(small_or_shuffled(chosen), same).select("node", "digest", "text", *more).mapInArrow(shingle, f"node long{kinds}, payload binary")
+
+    def exact(load: list[bytes], ask: list[int] | None) -> list[tuple[int, int]]:
+        return exact_links([np.frombuffer(x, np.uint64) for x in load], percent, ask)
+
+    stars = _spanning(members, read_sets, exact)
+    linked = classes.select("node", "digest", "least_id", "copies").join(stars, "node", "left").filter("copies > 1 or component is not null")
+    linked = materialize(linked.withColumn("component", F.coalesce("component", "node")), "components")
+    least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    linked = join_groups(linked.select("component", "digest", "copies"), materialize(least, "least-ids"), "component", "n")
+    linked = materialize(linked.select("digest", "copies", "component", "component_id", F.lit(True).alias("grouped")), "linked")
+    # rows without shingles share no digest and are linked with nothing
+    out = join_groups(thin.select("doc_id", "text_key", "text_key2", "n_shingles", "digest").filter("digest is not null"), linked, "digest", "copies", "left")
+    out = out.select("doc_id", "text_key", "text_key2", "n_shingles", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
+    bare = thin.filter("digest is null").select("doc_id", "text_key", "text_key2", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    return out.unionByName(bare)
+
+
+def near_dedup(docs: DataFrame, words: int = 3, percent: int = 85, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Texts are lower-cased (A-Z) and cut into words at ASCII white space; a
+    document's set holds its distinct shingles of ``words`` words, or its
+    whole sequence where it has fewer. Documents are linked when 100 *
+    intersection >= ``percent`` * union on full sets; a component's smallest
+    id is kept. The plan is that of :func:`near_groups`.
+
+    Edge cases: null or empty text, or white space alone, has no shingles
+    and is linked with nothing; rows that repeat an id and text get equal
+    rows; rows that share an id but not the text are rows of their own, and
+    are linked only by their texts; a row without id is linked like any other, and
+    its component's id is null if all its rows are without; an empty table gives an
+    empty result; extra columns, whatever their names, take no part.
+    """
+    groups = near_groups(docs, words, percent, bands, id_col, text_col)
+    return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, in its own columns.
+
+    Of a group the row with the smallest id stays (rows without id come last);
+    of several such rows the one whose text has the smallest hash, and one of
+    those that repeat both. Rows without shingles all stay. The texts are
+    shuffled only where the dropped rows are too many to be broadcast. An empty
+    table gives an empty result.
+    """
+    keys = unused(docs, "__id", "__text", "__text2")
+    named = [F.col(c).alias(k) for c, k in zip(("doc_id", "text_key", "text_key2"), keys)]
+    rows = materialize(near_groups(docs, words, percent, id_col=id_col, text_col=text_col).filter("component is not null"), "near-rows")
+    # one row for each id and text; its component tells nothing but its group
+    keyed = rows.groupBy("component", "doc_id", "text_key", "text_key2").agg(F.max("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    keyed = materialize(keyed, "near-keys")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    groups = keyed.groupBy("component").agg(F.min(F.when(first, F.col("text_key"))).alias("best"), F.count(F.lit(1)).alias("n_keys"))
+    judged = join_groups(keyed, materialize(groups, "near-best"), "component", "n_keys")
+    stays = first & (F.col("text_key") == F.col("best"))
+    drops = materialize(judged.filter(~stays).select(*named), "near-drops")
+    twice = materialize(judged.filter(stays & (F.col("n") > 1)).select(*named), "near-repeats")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marked = docs.withColumns({keys[0]: F.col(id_col).cast("long"), keys[1]: F.xxhash64(text), keys[2]: F.xxhash64(F.lit(1), text)})
+    return keep_marked(docs, marked, keys, drops, twice)

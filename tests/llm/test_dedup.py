@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import materialize
 from tallyframe.llm.components import connected_components
 from tallyframe.llm.exact_dedup import drop_copies, exact_dedup
-from tallyframe.llm.minhash import Sketcher, exact_links, forest, near_dedup, rows_per_band
+from tallyframe.llm.minhash import Sketcher, drop_near_copies, exact_links, forest, near_dedup, rows_per_band
 
 DOCS = "doc_id long, text string, keep_id string, __h string"
 
@@ -120,22 +120,73 @@ def test_near_dedup_against_all_pairs(spark, k, percent):
     assert sorted(got, key=str) == expected_near(rows, k, percent)
 
 
-def test_near_dedup_of_large_groups_in_blocks(spark, monkeypatch):
+def variants(rng, base, n, changes):
+    out = []
+    for _ in range(n):
+        v = list(base)
+        for _ in range(changes):
+            v[rng.randrange(len(v))] = f"n{rng.randrange(10**6)}"
+        out.append(" ".join(v))
+    return out
+
+
+@pytest.mark.parametrize("changes", [3, 5, 8])
+def test_near_dedup_of_large_groups_in_blocks(spark, monkeypatch, changes):
+    """Groups of several blocks: all linked, partly linked and hardly linked, so that the rest is asked too."""
     from tallyframe.llm import minhash
 
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 7)
-    rng = random.Random(9)
-    base = [f"b{i}" for i in range(150)]
-    rows = []
-    for i in range(60):
-        v = list(base)
-        for _ in range(3):
-            v[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
-        rows.append((i, " ".join(v)))
+    rng = random.Random(changes)
+    rows = list(enumerate(variants(rng, [f"b{i}" for i in range(150)], 60, changes)))
     got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup(docs(spark, rows)).collect()]
     assert sorted(got, key=str) == expected_near(rows, 3, 85)
 
 
+def test_near_dedup_of_ids_that_repeat_or_are_missing(spark):
+    """Ids that several texts share link nothing, and rows without id lose no link."""
+    rng = random.Random(4)
+    base = [[f"{c}{i}" for i in range(60)] for c in "abcdef"]
+    rows = [(5, " ".join(base[0])), (5, " ".join(base[1])), (2, variants(rng, base[1], 1, 1)[0]), (9, " ".join(base[2]))]
+    rows += [(None, " ".join(base[3])), (30, variants(rng, base[3], 1, 1)[0]), (None, variants(rng, base[4], 1, 1)[0]), (None, " ".join(base[4])), (None, " ".join(base[5])), (None, None)]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == expected_near(rows, 3, 85)
+
+
+def test_drop_near_copies_keeps_one_row_of_each_group(spark):
+    rng = random.Random(8)
+    base = [[f"{c}{i}" for i in range(80)] for c in "abcdefg"]
+    one = [" ".join(b) for b in base]
+    two = [variants(rng, b, 1, 1)[0] for b in base]
+    rows = [(5, one[0]), (5, one[1]), (2, two[1]), (9, one[2])]  # the ids of a and b repeat, a is like nothing
+    rows += [(None, one[3]), (30, two[3])]  # a row without id is dropped for one with
+    rows += [(None, one[4]), (None, two[4])]  # both without: one stays
+    rows += [(7, one[5]), (7, two[5])]  # one id, near copies: one stays
+    rows += [(8, one[6]), (8, one[6]), (8, one[6])]  # repeated rows: one stays
+    rows += [(40, None), (40, None), (None, "")]  # nothing to compare: all stay
+    names = "doc_id long, text string, __id string, __TEXT string, __drop___id string, component string"
+    frame = spark.createDataFrame([(i, t, "x", "y", "z", "c") for i, t in rows], names)
+    got = drop_near_copies(frame)
+    assert got.columns == frame.columns
+    left = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert all(left[r] == 1 for r in [(5, one[0]), (2, two[1]), (9, one[2]), (30, two[3]), (8, one[6]), (None, "")]) and left[(40, None)] == 2
+    assert left[(None, one[4])] + left[(None, two[4])] == 1 == left[(7, one[5])] + left[(7, two[5])]
+    assert sum(left.values()) == 10
+    assert drop_near_copies(frame.limit(0)).count() == 0
+
+
+def test_hot_groups_are_joined_apart(spark, monkeypatch):
+    """Beyond the broadcast bound, and with a key that holds most rows and one that is null."""
+    from tallyframe.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    keys = [1] * 3000 + [2] * 600 + list(range(10, 40)) + [None] * 5 + [99]
+    rows = spark.createDataFrame(list(enumerate(keys)), "i long, k long")
+    groups = rows.filter("k is not null and k <> 99").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for how in ("inner", "left"):
+        got = Counter((r["i"], r["k"], r["n"]) for r in common.join_groups(rows, groups, "k", "n", how).collect())
+        assert got == Counter((r["i"], r["k"], r["n"]) for r in rows.join(groups, "k", how).collect())
+
+
 def test_near_dedup_of_nothing(spark):
     assert near_dedup(docs(spark, [])).count() == 0
 

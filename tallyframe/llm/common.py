@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.session import materialize  # noqa: F401  (used by the operators)
@@ -64,7 +64,7 @@ def hot_size(groups: DataFrame, size: str) -> int:
     return least
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, how: str = "inner") -> DataFrame:
     """Join ``rows`` with the one row that the materialised ``groups`` hold per key.
 
     ``size`` is the column of ``groups`` that says how many rows share the
@@ -76,8 +76,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: st
     if groups.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(groups), key, how)
     least = hot_size(groups, size)
+    key = [key] if isinstance(key, str) else key
     hot, rest = F.broadcast(groups.filter(F.col(size) >= least)), groups.filter(F.col(size) < least)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key, how))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(rest, key, how))
 
 
 def drop_rows(df: DataFrame, drops: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,12 +111,40 @@ def keep_marked(docs: DataFrame, marked: DataFrame, keys: list[str], drops: Data
     return rest.select(*docs.columns)
 
 
-def seeded(seed: int, id_col: Column) -> Column:
-    """A 60-bit non-negative pseudo-random long decided by seed and id alone (null id: 'null')."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null")))
+def seeded(seed: int, *parts: Column) -> Column:
+    """A 60-bit non-negative pseudo-random long decided by seed and parts alone (null part: 'null')."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def bucket_of(h: Column, buckets: Column) -> Column:
     """Bucket 0..buckets-1, monotone in the 60-bit value ``h``."""
     return F.least(F.floor(h.cast("double") / F.lit(float(2**60)) * buckets), buckets - 1).cast("long")
+
+
+def running_before(df: DataFrame, keys: list[str], index: list[str], value: str, width: int = 1000) -> DataFrame:
+    """``df`` with ``before``: the sum of ``value`` over the rows of the same keys that come earlier by ``index``.
+
+    The first column of ``index`` is a bucket number. Sums go in two levels, so that
+    a task sees the buckets of one stretch of ``width``, or one sum per stretch.
+    No key may be null.
+    """
+    d = df.withColumn("__top", F.floor(F.col(index[0]) / width))
+    tops = d.groupBy(*keys, "__top").agg(F.sum(value).alias("__sum"))
+    tops = tops.withColumn("__over", F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__top")) - F.col("__sum")).drop("__sum")
+    under = F.sum(value).over(Window.partitionBy(*keys, "__top").orderBy(*index).rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("before", F.coalesce(under, F.lit(0))).join(tops, [*keys, "__top"])
+    return d.withColumn("before", F.col("before") + F.col("__over")).drop("__top", "__over")
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Written ``rows`` with ``name``: 0, 1, 2 ... within rows of the same (not null) keys, in no fixed order.
+
+    Rows are counted within the tasks that read them first, so a key that
+    holds most rows is spread over as many tasks as before.
+    """
+    pid, row, before = unused(rows, "__pid", "__row", "__before")
+    d = materialize(rows.withColumns({pid: F.spark_partition_id().cast("long"), row: F.monotonically_increasing_id()}), "numbered")
+    counts = running_before(d.groupBy(*keys, pid).agg(F.count(F.lit(1)).alias("__n")), keys, [pid], "__n").withColumnRenamed("before", before).drop("__n")
+    local = F.row_number().over(Window.partitionBy(*keys, pid).orderBy(row)) - 1
+    return d.withColumn(name, local).join(counts, [*keys, pid]).withColumn(name, F.col(name) + F.col(before)).drop(pid, row, before)

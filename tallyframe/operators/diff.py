@@ -7,6 +7,7 @@ label, field, original, revised, change, change_pct, severity``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,8 +35,8 @@ def _signed(c: Column, places: int, commas: bool = True) -> Column:
     return F.concat(F.when(c < 0, "-").otherwise("+"), digits)
 
 
-def _row(d: DataFrame, category: str, field: Column, original: Column, revised: Column, change: Column, pct: Column, severity: Column) -> DataFrame:
-    out = d.select("deal_key", F.lit(category).alias("category"), F.col("label"), field.alias("field"), original.alias("original"), revised.alias("revised"), change.alias("change"), pct.alias("change_pct"), severity.alias("severity"))
+def _row(d: DataFrame, category: str | Column, field: Column, original: Column, revised: Column, change: Column, pct: Column, severity: Column) -> DataFrame:
+    out = d.select("deal_key", (F.lit(category) if isinstance(category, str) else category).alias("category"), F.col("label"), field.alias("field"), original.alias("original"), revised.alias("revised"), change.alias("change"), pct.alias("change_pct"), severity.alias("severity"))
     return out.filter(F.col("severity") != "NO CHANGE").select(*CHANGE)
 
 
@@ -122,16 +123,102 @@ def test_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [members, flips, ratios, numeric_changes(parts[0], parts[1], "IC/OC Tests", {"numerator": 0.1, "denominator": 0.1})])
 
 
+#: Header words of the field and amount columns of account tables, and what
+#: names an account, a labelled amount, a note value and a class's value in running text.
+ACCOUNTS = {
+    "ICA (Interest Collection Account)": r"interest\s+collection\s+account|ica\b|interest\s+account",
+    "PCA (Principal Collection Account)": r"principal\s+collection\s+account|pca\b|principal\s+account",
+}
+ACCOUNT_FIELD = ["field", "description", "item", "account"]
+ACCOUNT_AMOUNT = ["amount", "balance", "value", "revised", "original"]
+LABELLED_AMOUNT = r"(opening|beginning|prior|closing|ending|total\s+deposit|total\s+disbursement|total\s+paid|collection|received)\s*[:\-]?\s*([\d,]+\.\d{2})"
+VALUE_HEADING = r"note\s+valuation|nvr|present\s+value|calculated\s+value|note\s+value"
+VALUE_HEADERS = ["note value", "pv", "present value", "calculated value", "nvr", "valuation"]
+VALUE_CLASS = ["class", "notes", "tranche", "name"]
+VALUE_AMOUNT = ["note value", "pv", "present value", "calculated value", "value"]
+CLASS_VALUE = r"(?im)^([a-z0-9\-.]+\s*(?:notes?|class|tranche)?)\s+([\d,]+\.\d{2})"
+
+
+def _entries(text: Column, wanted: Callable[[Column], Column], name: list[str], amount: list[str], lower: bool) -> Column:
+    """(name, value) of the rows of all wanted tables, in order."""
+    def of(t: Column) -> Column:
+        def rows(at: Column) -> Column:
+            key = S.strip(T.cell(at["r"], at["a"]))
+            return F.struct((F.lower(key) if lower else key).alias("k"), S.parse_number(T.cell(at["r"], at["b"])).alias("v"))
+
+        h = T.normal(t["header"])
+        a, b = T.column_containing(h, *name), T.column_containing(h, *amount)
+        found = F.transform(t["rows"], lambda r: rows(F.struct(r.alias("r"), a.alias("a"), b.alias("b"))))
+        return F.when(a.isNotNull() & b.isNotNull(), F.filter(found, lambda x: x["v"].isNotNull() & x["k"].isNotNull())).otherwise(F.array().cast("array<struct<k:string,v:double>>"))
+
+    return F.flatten(F.transform(F.filter(T.parse_tables(text), wanted), of))
+
+
+def _labelled(text: Column, pattern: str, lower: bool) -> Column:
+    """(label, value) of the amounts that a pattern's two groups find in running text."""
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("v"))
+    return F.transform(both, lambda x: F.struct(S.strip(F.lower(x["k"]) if lower else x["k"]).alias("k"), S.parse_number(x["v"]).alias("v")))
+
+
+def _first_found(deals: DataFrame, files: list[str], gate: str, found: Callable[[Column], Column]) -> DataFrame:
+    """``deal_key, k, v`` from the first text of a deal that matches ``gate`` and yields entries; of equal names the last stays.
+
+    Texts are the files in order, then the page chunks (``chunks``, an array, if there is such a column).
+    """
+    chunks = [F.coalesce(F.col("chunks"), F.array().cast("array<string>"))] if "chunks" in deals.columns else []
+    texts = F.concat(F.array(*[F.coalesce(F.col(f), F.lit("")) for f in files]), *chunks)
+    d = deals.select("deal_key", F.posexplode(texts).alias("part", "text")).filter(F.col("text").rlike("(?i)" + gate))
+    d = d.select("deal_key", "part", F.posexplode_outer(found(F.col("text"))).alias("seq", "e")).filter("e is not null")
+    d = d.groupBy("deal_key", "part", F.col("e.k").alias("k")).agg(F.max_by("e.v", "seq").alias("v"))
+    first = d.groupBy("deal_key").agg(F.min("part").alias("part"))
+    return d.join(first, ["deal_key", "part"]).select("deal_key", "k", "v")
+
+
+def account_fields(deals: DataFrame) -> DataFrame:
+    """``deal_key, category, k, v``: amounts of the interest and principal collection accounts.
+
+    From tables whose header names the account; where a text has none, from labelled amounts in it.
+    """
+    def of(account: str) -> DataFrame:
+        pattern = "(?i)" + ACCOUNTS[account]
+
+        def found(text: Column) -> Column:
+            tables = _entries(text, lambda t: T.header_text(t).rlike(pattern), ACCOUNT_FIELD, ACCOUNT_AMOUNT, True)
+            return F.when(F.size(tables) > 0, tables).otherwise(_labelled(text, "(?i)" + LABELLED_AMOUNT, True))
+
+        return _first_found(deals, ["text03", "text04"], ACCOUNTS[account], found).withColumn("category", F.lit(account))
+
+    return reduce(DataFrame.unionByName, [of(a) for a in ACCOUNTS])
+
+
+def note_values(deals: DataFrame) -> DataFrame:
+    """``deal_key, category, k, v``: note value or present value of each class, from tables, else from lines."""
+    def found(text: Column) -> Column:
+        tables = F.filter(_entries(text, lambda t: S.any_of(T.header_text(t), VALUE_HEADERS), VALUE_CLASS, VALUE_AMOUNT, False), lambda x: x["k"] != "")
+        return F.when(F.size(tables) > 0, tables).otherwise(_labelled(text, CLASS_VALUE, False))
+
+    return _first_found(deals, ["text03", "text01", "text02", "text04"], VALUE_HEADING, found).withColumn("category", F.lit("Note Valuation (PV)"))
+
+
+def amount_changes(old: DataFrame, new: DataFrame, high: float, critical: float | None, label: Column, field: Column) -> DataFrame:
+    """Changes of ``deal_key, category, k, v``, also of names that one side lacks."""
+    key = ["deal_key", "category", "k"]
+    d = old.select(*key, F.col("v").alias("ov")).join(new.select(*key, F.col("v").alias("rv")), key, "full")
+    delta = F.coalesce("rv", F.lit(0.0)) - F.coalesce("ov", F.lit(0.0))
+    pct = F.when(F.col("ov") != 0, F.concat(_signed(delta / F.nullif(F.abs(F.col("ov")), F.lit(0.0)) * 100, 4, False), F.lit("%"))).otherwise("")
+    show = lambda c: F.coalesce(F.format_number(F.col(c), 2), F.lit("N/A"))
+    severity = severity_of_change(F.col("ov"), F.col("rv"), high, critical)
+    return _row(d.withColumn("label", label), F.col("category"), field, show("ov"), show("rv"), _signed(delta, 2), pct, severity)
+
+
 def account_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Collection accounts, by one percent."""
-    fields = [r["field"] for r in old.select("field").distinct().limit(100).collect()]
-    return numeric_changes(old, new, "Collection accounts", dict.fromkeys(fields, ACCOUNT_THRESHOLD)) if fields else old.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in CHANGE))
+    """Collection accounts of two sets of deals, by one percent."""
+    return amount_changes(account_fields(old), account_fields(new), ACCOUNT_THRESHOLD, None, F.initcap("k"), F.col("k"))
 
 
 def value_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Note value and present value: anything over 0.1 percent is CRITICAL."""
-    names = ["note value", "present value"]
-    return numeric_changes(old, new, "Note values", dict.fromkeys(names, VALUE_THRESHOLD), dict.fromkeys(names, VALUE_THRESHOLD))
+    """Note values of two sets of deals: anything over 0.1 percent is CRITICAL."""
+    return amount_changes(note_values(old), note_values(new), VALUE_THRESHOLD, VALUE_THRESHOLD, F.col("k"), F.lit("note value / PV"))
 
 
 def fee_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -145,7 +232,7 @@ def fee_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def compare(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Dates, classes, tests and fees of deals given as markdown files."""
+    """Dates, classes, tests, collection accounts, note values and fees of deals given as markdown files."""
     a, b = class_fields(old), class_fields(new)
     classes = membership_changes(a, b, "Class balances", "(class)", "CRITICAL").unionByName(numeric_changes(a, b, "Class balances", CLASS_FIELDS))
 
@@ -154,7 +241,7 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
         places = {"label": lambda h: F.coalesce(T.column_exact(h, "Sub category"), T.column_containing(h, "fee_type", "standard fee type")), "amount": lambda h: T.column_exact(h, "Amount paid")}
         return T.typed_rows(d, "fees", T.fee_rows, places).select("deal_key", F.lower("label").alias("label"), S.parse_number(F.col("amount")).alias("amount"))
 
-    return reduce(DataFrame.unionByName, [date_changes(old, new), classes, test_changes(test_fields(old), test_fields(new)), fee_changes(fees(old), fees(new))])
+    return reduce(DataFrame.unionByName, [date_changes(old, new), classes, test_changes(test_fields(old), test_fields(new)), account_changes(old, new), value_changes(old, new), fee_changes(fees(old), fees(new))])
 
 
 def severity_counts(changes: DataFrame) -> DataFrame:

@@ -237,6 +237,67 @@ def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.deal_status(d, rules.validate(d))
 
 
+def _class_row(name: str = "A", original: str = "100.00", beginning: str = "100.00", rate: str = "5%", interest: str = "2.00", payable: str = "", principal: str = "10.00", ending: str = "90.00") -> str:
+    return f"| {name} | {original} | {beginning} | {rate} | {interest} | {payable} | {principal} | | | | {ending} | |\n"
+
+
+def _class_table(*rows: str, source: str = "") -> str:
+    return "## Extracted Data\n### Class balance table (primary)\n| " + " | ".join(CLASS_HEADERS) + " |\n|" + "---|" * len(CLASS_HEADERS) + "\n" + "".join(rows) + f"\n## Source Text\n{source}\n"
+
+
+def _waterfall(*rows: str, more: str = "") -> str:
+    return "| Priority | Item / payee description | Amount paid | Amount payable | Amount available / running | Other amount columns | Notes |\n|---|---|---|---|---|---|---|\n" + "".join(f"| {r} | |\n" for r in rows) + more
+
+
+_GRID = "\n| Class | Prior Principal | Interest Rate | Principal Paid | Interest Paid | Current Principal |\n|---|---|---|---|---|---|\n"
+_TAXES, _FEES = "(a) | Taxes | 10.00 | 10.00 | 1,000.00 |", "| Main category | Sub category | Priority | Amount paid |\n|---|---|---|---|\n| Tax | tax_gross_amounts | (a) | 10.00 |\n"
+_GOOD = {"text01": "x", "text02": _class_table(_class_row()), "text03": _waterfall(_TAXES), "text04": "x", "text05": _FEES}
+#: A deal's files that differ from a faultless deal's, and the messages (rule, count) that they must give.
+SCENARIOS: list[tuple[dict[str, str | None], dict[str, int]]] = [
+    ({}, {}),
+    ({"text01": None}, {"V0": 1}),
+    ({"text02": None, "text04": None}, {"V0": 2}),
+    ({"text02": "no table"}, {"V1": 1}),
+    ({"text02": _class_table(_class_row(interest="0.00"), _class_row("B", interest="-"))}, {"V2": 1}),
+    ({"text02": _class_table(_class_row(original="", beginning="", principal="", ending=""), _class_row("B", original="0.00", beginning="0.00", principal="", ending="0.00"))}, {"V4": 1}),
+    ({"text02": _class_table(_class_row(ending="95.00"), _class_row("B"))}, {"V5": 1}),
+    ({"text02": _class_table(_class_row(principal="100.00", ending="100.00"))}, {"V5b": 1}),
+    ({"text02": _class_table(_class_row(interest="-2.00")), "text03": _waterfall(_TAXES, "(b) | Rent | -5.00 | | |")}, {"V6": 2}),
+    ({"text03": _waterfall(_TAXES, "(b) | Rent | 30.00 | 40.00 | 30.00 |", "(c) | Rent | 20.00 | 20.00 | 900.00 | Unpaid 3.00")}, {"V6b": 1, "V6b_due": 1}),
+    ({"text03": _waterfall(_TAXES, more="\n### Column mapping\n- Available for disbursements -> Amount paid\n")}, {"V6c": 1}),
+    ({"text02": _class_table(_class_row(), *[_class_row(c, beginning="", rate="", interest="", principal="", ending="") for c in "BC"]) + "Distribution in US$\n"}, {"V6d": 1}),
+    ({"text02": _class_table(_class_row(), _class_row("E-144A"), _class_row("E-REGS"))}, {"V6e": 1}),
+    ({"text02": _class_table(_class_row(rate="")) + _GRID + "| A | 100.00 | 5.1% | 10.00 | 2.00 | 90.00 |\n"}, {"V7": 1}),
+    ({"text02": _class_table(_class_row(rate="Floating"), source="Coupon 5.25%")}, {"V7b": 1}),
+    ({"text02": _class_table(_class_row(interest="", payable="5.00"), _class_row("B")), "text03": _waterfall(_TAXES, "(d) | interest on the Class A Notes | 99.00 | 99.00 | 500.00 |")}, {"V8": 1, "V8b": 1}),
+    ({"text05": None, "text03": _waterfall("(c) | Senior Management Fee | 30.00 | 30.00 | 500.00 |")}, {"V9": 1}),
+    ({"text02": _class_table(_class_row(), source="> A\n> B-R\n> C")}, {"V10": 1}),
+    ({"text03": "nothing", "text05": None}, {"V11": 1}),
+    ({"text03": None, "text05": None}, {"V13": 1}),
+    ({"text02": _class_table(_class_row()) + _GRID + "| A | 70.00 | 5.1% | 10.00 | 10.00 | 90.00 |\nDistribution in US$\n"}, {"V5c": 1, "V5d": 1}),
+    ({"text03": _waterfall(_TAXES, more="\n## Source Text\n--- Page 3 of 9 ---\n> x\n")}, {"V12": 1}),
+]
+
+
+def _scenario_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer as a deal of one of the scenarios."""
+    k = F.col("c_custkey") % len(SCENARIOS)
+    files = [(_GOOD | changed) for changed, _ in SCENARIOS]
+    texts = [F.element_at(F.array(*[F.lit(f[t]) for f in files]), (k + 1).cast("int")).alias(t) for t in _GOOD]
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("deal_key"), *texts)
+
+
+_EXPECTED = ", ".join(f"({i}, '{rule}', {n})" for i, (_, wants) in enumerate(SCENARIOS) for rule, n in wants.items())
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS deal_key, rule, CAST(n AS BIGINT) AS n FROM customer JOIN (VALUES {_EXPECTED}) v(k, rule, n) ON c_custkey % {len(SCENARIOS)} = k")
+def rule_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole rule catalogue over deals with one planted fault each."""
+    d = _scenario_deals(spark, sf_dir)
+    pages = d.filter(F.col("text03").contains("--- Page 3")).select("deal_key", F.explode(F.array(F.lit(3), F.lit(4))).alias("page"))
+    return rules.validate(d, pages).groupBy("deal_key", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""
 SELECT l_orderkey AS deal_key, bool_and(l_tax = 0) AS no_tax, bool_and(l_discount = 0) AS no_discount FROM lineitem GROUP BY 1""")
 def all_zero_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -648,12 +709,40 @@ def fee_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.fee_changes(o, new).select("deal_key", "label", "severity")
 
 
-@query("""SELECT CASE o_orderkey % 4 WHEN 1 THEN 'LOW' WHEN 2 THEN 'HIGH' ELSE 'NO CHANGE' END AS severity, count(*) AS n FROM orders WHERE o_totalprice > 10000 GROUP BY 1""")
+@query("""
+SELECT CASE WHEN v = 0 THEN 'NO CHANGE' WHEN k = 1 AND v * 0.001 > 0.01 THEN 'LOW' WHEN k = 2 AND v * 0.5 > 0.01 THEN 'HIGH' ELSE 'NO CHANGE' END AS severity, count(*) AS n
+FROM (SELECT o_orderkey % 4 AS k, floor(o_totalprice) AS v FROM orders) GROUP BY 1""")
 def numeric_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severities by percent of change."""
     k, v = F.col("o_orderkey") % 4, F.floor("o_totalprice").cast("double")
     s = P.severity_of_change(v, F.when(k == 1, v * 1.001).when(k == 2, v * 1.5).otherwise(v), 0.5)
-    return read(spark, sf_dir, "orders").filter("o_totalprice > 10000").groupBy(s.alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    return read(spark, sf_dir, "orders").groupBy(s.alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _reports(spark: SparkSession, sf_dir: str, revised: bool) -> DataFrame:
+    """Each order as a report with account tables or labelled amounts, and note values."""
+    n = F.col("o_orderkey")
+    v = F.floor("o_totalprice").cast("double")
+    now = v * F.when((n % 4 == 1) & F.lit(revised), 2.0).otherwise(1.0)
+    table = F.concat(F.lit("| Interest Collection Account | Amount |\n|---|---|\n| Opening Balance | "), money(now), F.lit(" |\n| Received | 5.00 |\n| Opening balance | "), money(now + 1), F.lit(" |\n"))
+    lines = F.concat(F.lit("Principal account\nOpening: "), money(now), F.lit("\nclosing 7.00\n"))
+    note = F.concat(F.lit("| Class | Note value |\n|---|---|\n| A | "), money(now), F.lit(" |\n"), F.when((n % 5 == 2) & F.lit(revised), "").otherwise("| B | 10.00 |\n"))
+    return read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("deal_key"), F.lit("x").alias("text01"), F.lit("").alias("text02"), F.when(n % 3 == 0, table).when(n % 3 == 1, lines).otherwise(F.lit("none")).alias("text03"),
+        note.alias("text04"), F.lit(None).cast("string").alias("text05"),
+    )
+
+
+@query("""
+WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS deal_key, o_orderkey % 3 AS k, o_orderkey % 4 = 1 AS twice, o_orderkey % 5 = 2 AS gone FROM orders)
+SELECT deal_key, 'ICA (Interest Collection Account)' AS category, 'Opening Balance' AS label, 'HIGH' AS severity FROM o WHERE k = 0 AND twice
+UNION ALL SELECT deal_key, 'PCA (Principal Collection Account)', 'Opening', 'HIGH' FROM o WHERE k = 1 AND twice
+UNION ALL SELECT deal_key, 'Note Valuation (PV)', 'A', 'CRITICAL' FROM o WHERE twice
+UNION ALL SELECT deal_key, 'Note Valuation (PV)', 'B', 'HIGH' FROM o WHERE gone""")
+def account_and_note_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts and note values read from the files and compared."""
+    old, new = _reports(spark, sf_dir, False), _reports(spark, sf_dir, True)
+    return diff.account_changes(old, new).unionByName(diff.value_changes(old, new)).select("deal_key", "category", "label", "severity")
 
 
 # --- pages ------------------------------------------------------------------------------------
@@ -837,3 +926,16 @@ def xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = n.select(xml_export.from_xml(xml_export.to_xml(row)).alias("x")).select("x.*")
     lines = xml_export.class_lines(d)
     return lines.select(F.substring_index("source_folder", "_", 1).cast("int").alias("n_nationkey"), F.col("class").alias("n_name"), F.col("ending_balance").alias("balance"))
+
+
+@query("""
+SELECT CAST(s_nationkey AS VARCHAR) AS deal_key, s_suppkey, CASE WHEN s_suppkey % 3 = 1 THEN 'A' WHEN s_suppkey % 3 = 2 THEN '' WHEN s_suppkey % 2 = 0 THEN 'B' ELSE 'ghost' END AS class,
+  s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 AS overridden FROM supplier""")
+def listing_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing's class gives way to the geometry's only if it is no primary class and the other is one."""
+    s = read(spark, sf_dir, "supplier")
+    deal, k = F.col("s_nationkey").cast("string").alias("deal_key"), F.col("s_suppkey")
+    lines = s.select(deal, k, F.when(k % 3 == 1, "A").when(k % 3 == 2, "").otherwise("ghost").alias("class"), F.concat(F.lit("x"), k).alias("cusip"))
+    geometry = s.select(deal, F.concat(F.lit("X"), k).alias("cusip"), F.when(k % 2 == 0, "B").otherwise("nowhere").alias("class"))
+    primary = s.select(deal, F.explode(F.array(F.lit("A"), F.lit("B"))).alias("class")).distinct()
+    return xml_export.geometry_override(lines, geometry, primary).select("deal_key", "s_suppkey", "class", "overridden")

@@ -24,14 +24,20 @@ def session(app: str = "tallyframe", master: str | None = None, **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is named."""
+    """The shared folder the cluster names; where none is named, one beside the tables of the warehouse.
+
+    A folder of one machine is used only by a master that is that machine.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     own = sc._jsc.sc().getCheckpointDir()
     if own.isEmpty():
-        sc.setCheckpointDir(f"/tmp/tallyframe-checkpoints/{sc.applicationId}")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if warehouse.startswith(("file:", "/")) and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(f"{warehouse.rstrip('/')}/_checkpoints/{sc.applicationId}")
         own = sc._jsc.sc().getCheckpointDir()
     return own.get()
 

@@ -139,39 +139,29 @@ VALUE_AMOUNT = ["note value", "pv", "present value", "calculated value", "value"
 CLASS_VALUE = r"(?im)^([a-z0-9\-.]+\s*(?:notes?|class|tranche)?)\s+([\d,]+\.\d{2})"
 
 
-def _entries(text: Column, wanted: Callable[[Column], Column], name: list[str], amount: list[str], lower: bool) -> Column:
-    """(name, value) of the rows of all wanted tables, in order."""
-    def of(t: Column) -> Column:
-        def rows(at: Column) -> Column:
-            key = S.strip(T.cell(at["r"], at["a"]))
-            return F.struct((F.lower(key) if lower else key).alias("k"), S.parse_number(T.cell(at["r"], at["b"])).alias("v"))
-
-        h = T.normal(t["header"])
-        a, b = T.column_containing(h, *name), T.column_containing(h, *amount)
-        found = F.transform(t["rows"], lambda r: rows(F.struct(r.alias("r"), a.alias("a"), b.alias("b"))))
-        return F.when(a.isNotNull() & b.isNotNull(), F.filter(found, lambda x: x["v"].isNotNull() & x["k"].isNotNull())).otherwise(F.array().cast("array<struct<k:string,v:double>>"))
-
-    return F.flatten(F.transform(F.filter(T.parse_tables(text), wanted), of))
-
-
-def _labelled(text: Column, pattern: str, lower: bool) -> Column:
-    """(label, value) of the amounts that a pattern's two groups find in running text."""
-    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("v"))
-    return F.transform(both, lambda x: F.struct(S.strip(F.lower(x["k"]) if lower else x["k"]).alias("k"), S.parse_number(x["v"]).alias("v")))
-
-
-def _first_found(deals: DataFrame, files: list[str], gate: str, found: Callable[[Column], Column]) -> DataFrame:
+def _first_found(deals: DataFrame, files: list[str], gate: str, wanted: Callable[[Column], Column], name: list[str], amount: list[str], labelled: str, lower: bool) -> DataFrame:
     """``deal_key, k, v`` from the first text of a deal that matches ``gate`` and yields entries; of equal names the last stays.
 
-    Texts are the files in order, then the page chunks (``chunks``, an array, if there is such a column).
+    Texts are the files in order, then the page chunks (``chunks``, an array,
+    if there is such a column). Entries are the rows of the wanted tables with
+    a name and a number; a text without any gives the two groups of
+    ``labelled`` instead. Each text is parsed once.
     """
     chunks = [F.coalesce(F.col("chunks"), F.array().cast("array<string>"))] if "chunks" in deals.columns else []
     texts = F.concat(F.array(*[F.coalesce(F.col(f), F.lit("")) for f in files]), *chunks)
     d = deals.select("deal_key", F.posexplode(texts).alias("part", "text")).filter(F.col("text").rlike("(?i)" + gate))
-    d = d.select("deal_key", "part", F.posexplode_outer(found(F.col("text"))).alias("seq", "e")).filter("e is not null")
-    d = d.groupBy("deal_key", "part", F.col("e.k").alias("k")).agg(F.max_by("e.v", "seq").alias("v"))
-    first = d.groupBy("deal_key").agg(F.min("part").alias("part"))
-    return d.join(first, ["deal_key", "part"]).select("deal_key", "k", "v")
+    name_of = lambda c: S.strip(F.lower(c) if lower else c)
+    tables = d.select("deal_key", "part", F.posexplode_outer(F.filter(T.parse_tables(F.col("text")), wanted)).alias("t", "tbl"))
+    places = {"k": lambda h: T.column_containing(h, *name), "v": lambda h: T.column_containing(h, *amount)}
+    cells = T.typed_rows(tables, "tbl", lambda t: t["rows"], places, ("deal_key", "part", "t"))
+    cells = cells.select("deal_key", "part", F.lit(0).alias("source"), "t", "seq", name_of(F.col("k")).alias("k"), "v").filter("k is not null and v is not null")
+    both = F.arrays_zip(F.regexp_extract_all("text", F.lit(labelled), F.lit(1)).alias("k"), F.regexp_extract_all("text", F.lit(labelled), F.lit(2)).alias("v"))
+    lines = d.select("deal_key", "part", F.posexplode(both).alias("seq", "x"))
+    lines = lines.select("deal_key", "part", F.lit(1).alias("source"), F.lit(0).alias("t"), "seq", name_of(F.col("x.k")).alias("k"), F.col("x.v").alias("v"))
+    found = cells.unionByName(lines).withColumn("v", S.parse_number(F.col("v"))).filter("k <> '' and v is not null")
+    found = found.groupBy("deal_key", "part", "source", "k").agg(F.max_by("v", F.struct("t", "seq")).alias("v"))
+    kept = found.groupBy("deal_key").agg(F.min(F.struct("part", "source")).alias("f")).select("deal_key", "f.part", "f.source")
+    return found.join(kept, ["deal_key", "part", "source"]).select("deal_key", "k", "v")
 
 
 def account_fields(deals: DataFrame) -> DataFrame:
@@ -180,24 +170,17 @@ def account_fields(deals: DataFrame) -> DataFrame:
     From tables whose header names the account; where a text has none, from labelled amounts in it.
     """
     def of(account: str) -> DataFrame:
-        pattern = "(?i)" + ACCOUNTS[account]
-
-        def found(text: Column) -> Column:
-            tables = _entries(text, lambda t: T.header_text(t).rlike(pattern), ACCOUNT_FIELD, ACCOUNT_AMOUNT, True)
-            return F.when(F.size(tables) > 0, tables).otherwise(_labelled(text, "(?i)" + LABELLED_AMOUNT, True))
-
-        return _first_found(deals, ["text03", "text04"], ACCOUNTS[account], found).withColumn("category", F.lit(account))
+        named = lambda t: T.header_text(t).rlike("(?i)" + ACCOUNTS[account])
+        return _first_found(deals, ["text03", "text04"], ACCOUNTS[account], named, ACCOUNT_FIELD, ACCOUNT_AMOUNT, "(?i)" + LABELLED_AMOUNT, True).withColumn("category", F.lit(account))
 
     return reduce(DataFrame.unionByName, [of(a) for a in ACCOUNTS])
 
 
 def note_values(deals: DataFrame) -> DataFrame:
     """``deal_key, category, k, v``: note value or present value of each class, from tables, else from lines."""
-    def found(text: Column) -> Column:
-        tables = F.filter(_entries(text, lambda t: S.any_of(T.header_text(t), VALUE_HEADERS), VALUE_CLASS, VALUE_AMOUNT, False), lambda x: x["k"] != "")
-        return F.when(F.size(tables) > 0, tables).otherwise(_labelled(text, CLASS_VALUE, False))
-
-    return _first_found(deals, ["text03", "text01", "text02", "text04"], VALUE_HEADING, found).withColumn("category", F.lit("Note Valuation (PV)"))
+    named = lambda t: S.any_of(T.header_text(t), VALUE_HEADERS)
+    found = _first_found(deals, ["text03", "text01", "text02", "text04"], VALUE_HEADING, named, VALUE_CLASS, VALUE_AMOUNT, CLASS_VALUE, False)
+    return found.withColumn("category", F.lit("Note Valuation (PV)"))
 
 
 def amount_changes(old: DataFrame, new: DataFrame, high: float, critical: float | None, label: Column, field: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.mixing import apply_mix, cyclic_weights, mix, water_fill
 from tallyframe.llm.sharding import interleave
-from tallyframe.llm.topk_search import top_k_search
+from tallyframe.llm.topk_search import top_k, top_k_search
 
 
 def corpus(spark, n=3000, seed=1):
@@ -187,3 +187,24 @@ def test_top_k_against_brute_force(spark, monkeypatch, scale):
 
 def test_top_k_of_nothing(spark):
     assert top_k_search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 5 == 0).count() == 0
+
+
+def test_top_k_verifies_few_products():
+    """Clustered vectors, vectors of unlike lengths, and a threshold known beforehand: pruning takes effect and loses nothing."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 64))
+    close = np.floor(1024 * (centres[np.arange(2000) % 20] + 0.2 * rng.normal(size=(2000, 64)))).astype(np.int64)
+    flat = np.floor(1024 * rng.normal(size=(2000, 64)) / 8).astype(np.int64)
+    long = np.floor(flat * rng.exponential(size=(2000, 1))).astype(np.int64)
+    ids = np.arange(2000)
+    for vectors, most in ((close, 0.35), (long, 0.35), (flat, 0.6)):
+        counts, known = {}, {}
+        found = list(top_k((ids[:40], vectors[:40]), (ids, vectors), 10, None, counts))
+        for n, got, scores in found:
+            all_scores = vectors @ vectors[n]
+            want = sorted((-s, i) for i, s in enumerate(all_scores.tolist()) if i != n)[:10]
+            assert list(zip((-scores).tolist(), got.tolist())) == want
+        assert counts["verified"] <= most * counts["pairs"]
+        floor = np.array([scores[-1] for _, _, scores in found], float)
+        again = list(top_k((ids[:40], vectors[:40]), (ids, vectors), 10, floor, known))
+        assert all((a[1] == b[1]).all() and (a[2] == b[2]).all() for a, b in zip(found, again)) and known["verified"] <= counts["verified"]

@@ -20,24 +20,32 @@ class SumOfSquares:
 
     ``levels[h]`` counts the partially filled windows at fill ``h``. A document
     goes to the level (0: a new window) that leaves the smallest sum of squared
-    counts; ties go to the fullest level. A full window counts no more.
+    counts; ties go to the fullest level. A window that is full, or ``good``
+    full, leaves the array and counts no more.
 
     A document of more than ``size`` tokens first fills whole windows. When the
-    stream ends, or ``max_open`` windows are open, the open ones that are less
-    than ``good`` full are laid end to end and cut into full windows; what is
-    left of the last one is cut at powers of two, which need no padding.
+    stream ends, or ``max_open`` windows are open, the open windows are merged
+    by the same array: the fullest takes the whole contents of the fullest others
+    that fit, then whole pieces of the emptiest one, and only what is still
+    missing is cut from it. So an emitted window holds one cut at most. The last one's
+    tokens are cut at powers of two, which need no padding.
+
+    ``tokens`` counts what was emitted: filled by ``placing`` documents, as parts of
+    ``long`` ones, and in the end whole (``merged``) or ``cut``.
     """
 
     def __init__(self, size: int = 2048, max_open: int = 4096, good: float = 0.99):
-        self.size, self.max_open, self.good = size, max_open, good
+        self.size, self.max_open, self.good = size, max_open, -(-size * good // 1)
         self.levels = np.zeros(size + 1, np.int64)
         self.windows: list[list[list[tuple]]] = [[] for _ in range(size)]
         self.open = 0
+        self.tokens = dict.fromkeys(("placing", "long", "merged", "cut"), 0)
 
     def add(self, doc: object, ids: np.ndarray) -> Iterator[list[tuple]]:
         """Place a document; yields windows it fills, as lists of (doc, start, ids)."""
         start, n = 0, len(ids)
         while n - start >= self.size:
+            self.tokens["long"] += self.size
             yield [(doc, start, ids[start : start + self.size])]
             start += self.size
         rest = n - start
@@ -45,28 +53,32 @@ class SumOfSquares:
             return
         piece = (doc, start, ids[start:].copy())
         h = self._level(rest)
-        if h:
-            window = self.windows[h].pop()
-            self.levels[h] -= 1
-            self.open -= 1
-        else:
-            window = []
+        window = self._take(h) if h else []
         window.append(piece)
-        if h + rest == self.size:
+        if h + rest >= self.good:
+            self.tokens["placing"] += h + rest
             yield window
         else:
-            self.windows[h + rest].append(window)
-            self.levels[h + rest] += 1
-            self.open += 1
+            self._put(h + rest, window)
         if self.open >= self.max_open:
             yield from self.close()
 
+    def _take(self, h: int) -> list[tuple]:
+        self.levels[h] -= 1
+        self.open -= 1
+        return self.windows[h].pop()
+
+    def _put(self, h: int, window: list[tuple]) -> None:
+        self.windows[h].append(window)
+        self.levels[h] += 1
+        self.open += 1
+
     def _level(self, rest: int) -> int:
         here = self.levels[: self.size - rest + 1]
         cost = 2 * self.levels[rest : self.size + 1] + 1
-        cost[-1] = 0  # a window that gets full leaves no count
+        cost[max(0, int(self.good) - rest) :] = 0  # a window that is done leaves no count
         cost[1:] += 1 - 2 * here[1:]
-        if self.size == rest:
+        if rest >= self.good:
             return 0
         usable = np.flatnonzero(here)
         usable = usable[usable > 0]
@@ -76,24 +88,51 @@ class SumOfSquares:
         return int(best) if cost[best] <= cost[0] else 0
 
     def close(self) -> Iterator[list[tuple]]:
-        rest: list[tuple] = []
-        for h in range(self.size - 1, 0, -1):
-            for window in self.windows[h]:
-                if h >= self.good * self.size:
-                    yield window
-                else:
-                    rest += window
-            self.windows[h] = []
-        self.levels[:] = 0
-        self.open = 0
+        while self.open > 1:
+            h = int(np.flatnonzero(self.levels)[-1])
+            window, whole, cut = self._take(h), h, 0
+            while h < self.good and (fits := np.flatnonzero(self.levels[: self.size - h + 1])).size:
+                window += self._take(int(fits[-1]))
+                h += int(fits[-1])
+            whole = h
+            if h < self.good and self.open:
+                least = int(np.flatnonzero(self.levels)[0])
+                source = sorted(self._take(least), key=lambda p: len(p[2]))
+                kept: list[tuple] = []
+                while source:  # whole pieces, the longest that fits first
+                    piece = source.pop()
+                    if len(piece[2]) <= self.size - h and h < self.good:
+                        window.append(piece)
+                        h += len(piece[2])
+                    else:
+                        kept.append(piece)
+                whole = h
+                if h < self.good:
+                    doc, start, ids = kept.pop()  # the shortest one left is longer than the gap
+                    cut = self.size - h
+                    window.append((doc, start, ids[:cut]))
+                    kept.append((doc, start + cut, ids[cut:].copy()))
+                    h = self.size
+                if kept:
+                    self._put(sum(len(p[2]) for p in kept), kept)
+            if h < self.good:  # nothing else is open
+                self._put(h, window)
+                break
+            self.tokens["merged"] += whole
+            self.tokens["cut"] += cut
+            yield window
+        if not self.open:
+            return
+        rest = self._take(int(np.flatnonzero(self.levels)[0]))
         left = sum(len(p[2]) for p in rest)
+        self.tokens["cut"] += left
         window, room = [], 0
         for doc, start, ids in rest:
             while len(ids):
                 if not room:
                     if window:
                         yield window
-                    room = self.size if left >= self.size else 1 << (left.bit_length() - 1)
+                    room = 1 << (left.bit_length() - 1)
                     left -= room
                     window = []
                 k = min(room, len(ids))

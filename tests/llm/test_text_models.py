@@ -222,3 +222,29 @@ def test_language_ngrams_are_counted_over_all_words(spark):
     assert {"zqx", " zqx ", "wvk"} <= {g for keys, _ in model["tables"] for g in keys}
     got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(spark.createDataFrame([(1, "zqx"), (2, "wvk")], "doc_id long, text string"), model).collect()}
     assert got == {1: "xx", 2: "yy"}
+
+
+@pytest.mark.parametrize("rows", [1, 30, 300])
+def test_short_streams_are_hardly_cut(rows):
+    """Of a stream of few documents nearly all tokens are placed whole: by the levels, or by merging open windows."""
+    rng = np.random.default_rng(rows)
+    packer, windows, lengths = SumOfSquares(), [], np.minimum(rng.lognormal(5.5, 1.2, rows).astype(int) + 1, 30_000)
+    for i, n in enumerate(lengths):
+        windows += list(packer.add(i, np.arange(n, dtype=np.int32)))
+    windows += list(packer.close())
+    pieces = {}
+    for w in windows:
+        fill = sum(len(p[2]) for p in w)
+        assert fill <= 2048 and (fill >= 0.99 * 2048 or fill & (fill - 1) == 0)
+        for doc, start, ids in w:
+            assert (ids == np.arange(start, start + len(ids))).all()
+            pieces.setdefault(doc, []).append((start, len(ids)))
+    for i, n in enumerate(lengths):
+        end = 0
+        for start, k in sorted(pieces[i]):
+            assert start == end
+            end += k
+        assert end == n
+    assert sum(packer.tokens.values()) == lengths.sum()
+    if rows == 300:
+        assert packer.tokens["cut"] <= 0.05 * lengths.sum()

@@ -41,6 +41,13 @@ BOILERPLATE = frozenset(
     "paging pager pagination paywall popup print promo promotion promoted recommendations recommended related replies reply search share sharing sidebar signup skip social sponsor "
     "sponsored subscribe subscription taboola toolbar tooltip tracking warning widget widgets".split()
 )
+#: Of these, words that the article itself may also bear: they count only where they
+#: mark the smaller part of the page.
+DOUBTFUL = frozenset(
+    "advertorial banner byline captcha complementary consent dialog discussion form header login newsletter notice notification overlay paging paywall popup print promo "
+    "promotion recommendations search share sharing skip social subscribe subscription toolbar tooltip tracking warning widget widgets modal".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A class such as "with-sidebar" tells of a neighbour.
 NEIGHBOUR = frozenset("with has no without".split())
 BONUS = {"article": 1.5, "main": 1.3}
@@ -72,14 +79,16 @@ def _attrs(raw: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in ATTR.findall(raw)}
 
 
-def _unwanted(attrs: dict[str, str]) -> bool:
+def _unwanted(attrs: dict[str, str]) -> int:
+    """2: not of the article, 1: only if it is the smaller part of the page, 0: may be the article."""
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
+        return 2
+    found = 0
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".split():
         words = set(WORDS.findall(CAMEL.sub("-", name).lower()))
         if words & BOILERPLATE and not words & NEIGHBOUR:
-            return True
-    return False
+            found = max(found, 1 if words & BOILERPLATE <= DOUBTFUL else 2)
+    return found
 
 
 class Page:
@@ -94,7 +103,27 @@ class Page:
     def __init__(self, html: str):
         self.parent, self.tag, self.segment, self.hash, self.skip = [-1], ["html"], ["html"], [step(0, "html")], [False]
         self.blocks: list[tuple[int, str, int]] = []
+        #: What is decided once the whole page is read: 1 for doubtful elements, 2 for the header of an article.
+        self.later: dict[int, int] = {}
         self._scan(html)
+        if self.later:
+            self._decide()
+
+    def _decide(self) -> None:
+        """Drop doubtful elements that hold half of the text at most, and all but headings of an article's header."""
+        chars = [0] * len(self.tag)
+        for node, _, own in self.blocks:
+            chars[node] += own
+        for i in range(len(chars) - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+        out, heading = [False] * len(self.tag), [False] * len(self.tag)
+        header = list(out)
+        for i in range(1, len(self.tag)):
+            up, kind = self.parent[i], self.later.get(i)
+            heading[i] = heading[up] or self.tag[i] in HEADINGS
+            header[i] = header[up] or kind == 2
+            out[i] = out[up] or kind == 1 and 2 * chars[i] <= chars[0]
+        self.blocks = [b for b in self.blocks if not out[b[0]] and (not header[b[0]] or heading[b[0]])]
 
     def _scan(self, html: str) -> None:
         stack, parts, links, in_link = [0], [], 0, False
@@ -166,7 +195,7 @@ class Page:
                 pos = raw_end.end() if raw_end else end
                 continue
             attrs = _attrs(raw) if raw and "=" in raw or "hidden" in raw else {}
-            unwanted = bool(attrs) and _unwanted(attrs)
+            unwanted = _unwanted(attrs) if attrs else 0
             if name in INLINE and not unwanted:
                 in_link = in_link or name == "a"
                 continue
@@ -197,7 +226,12 @@ class Page:
             tag_of.append(name)
             self.segment.append(segment)
             self.hash.append(step(self.hash[up], segment))
-            skip_of.append(skip_of[up] or unwanted and name != "body" or name in SKIP)
+            inner = name == "header" and bool(open_tags.get("article") or open_tags.get("main"))
+            if name == "body":
+                unwanted = 0
+            if inner or unwanted == 1:
+                self.later[n] = 2 if inner else 1
+            skip_of.append(skip_of[up] or unwanted == 2 or name in SKIP and not inner)
             stack.append(n)
             open_tags[name] = open_tags.get(name, 0) + 1
         flush()

@@ -248,3 +248,35 @@ def test_short_streams_are_hardly_cut(rows):
     assert sum(packer.tokens.values()) == lengths.sum()
     if rows == 300:
         assert packer.tokens["cut"] <= 0.05 * lengths.sum()
+
+
+def test_html_class_words_never_judge_alone():
+    body = "<p>The article text, which is long enough to be one.</p>"
+    article = "The article text, which is long enough to be one."
+    assert extract_text(f'<article class="print">{body}</article>', None) == article
+    assert extract_text(f'<body><div id="search">{body}</div><div class="search">Find</div></body>', None) == article
+    assert extract_text(f'<body><div class="share">Share it</div><div class="notice">Mind the gap.</div><div class="entry">{body}</div><div class="comments"><p>{"Long comment. " * 20}</p></div></body>', None) == article
+
+
+def test_html_headline_in_the_header_of_an_article():
+    body = "<p>The article text, which is long enough to be one.</p>"
+    got = extract_text(f"<body><header><h1>Site</h1></header><article><header><h1>Headline</h1><p>By me</p><nav>Menu</nav></header>{body}</article></body>", None)
+    assert got == "Headline\nThe article text, which is long enough to be one."
+
+
+BLOCKS = ["Some sentence of the article, %d words long or so.", "Another one (no. %d) that says a little more than that.", "<b>Bold</b> words &amp; a <a href=x>link %d</a> in running text."]
+PLAIN = ["Some sentence of the article, %d words long or so.", "Another one (no. %d) that says a little more than that.", "Bold words & a link %d in running text."]
+
+
+def test_html_against_pages_made_from_known_articles():
+    """Articles of known blocks in several layouts, among menus, adverts, forms, notices and comments."""
+    rng = random.Random(21)
+    for k in range(200):
+        picks = [(rng.randrange(3), rng.randrange(1000)) for _ in range(rng.randrange(2, 12))]
+        tag = rng.choice(["p", "p", "div", "blockquote"])
+        inside = "".join(f"<{tag}>{BLOCKS[b] % n}</{tag}>" + rng.choice(["", "\n ", "<div class='ad'>Buy now!</div>", "<script>x('<p>')</script>"]) for b, n in picks)
+        shell = rng.choice(["<article>%s</article>", "<main><div class='c1'>%s</div></main>", "<div id='content'>%s</div>", "<table><tr><td><a href=a>one</a> <a href=b>two</a></td><td class='m'>%s</td></tr></table>"])
+        around = ["<header><h1>Site</h1></header>", "<nav><ul><li><a href=/>Home</a></li></ul></nav>", "<div class='cookie-banner'>We use cookies.</div>", "<div class='sidebar'><p>Older posts and more of them.</p></div>", "<aside>Tip</aside>"]
+        below = ["<form><input><button>Send</button></form>", "<div id='comments'><p>First! I liked this one a lot, thank you.</p></div>", "<footer>(c) me</footer>"]
+        page = "<html><body>" + "".join(rng.sample(around, rng.randrange(5))) + shell % inside + "".join(rng.sample(below, rng.randrange(3))) + "</body></html>"
+        assert extract_text(page, None) == "\n".join(PLAIN[b] % n for b, n in picks), page

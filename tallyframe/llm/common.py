@@ -15,6 +15,8 @@ BROADCAST_ROWS = 200_000
 BUCKET_ROWS = 500
 #: Arrow batches are cut to this many rows so that long texts stay bounded.
 ARROW_ROWS = 500
+#: And to this many bytes, so that a few very long texts are a batch of their own.
+ARROW_BYTES = 4 << 20
 
 #: Word characters: everything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,11 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the rows of an Arrow batch, so a worker holds few whole texts at once."""
+    """Lower the rows and bytes of an Arrow batch, so a worker holds few whole texts at once.
+
+    These are settings of the session, which Spark reads when the query runs: they stay lowered.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -280,3 +280,39 @@ def test_html_against_pages_made_from_known_articles():
         below = ["<form><input><button>Send</button></form>", "<div id='comments'><p>First! I liked this one a lot, thank you.</p></div>", "<footer>(c) me</footer>"]
         page = "<html><body>" + "".join(rng.sample(around, rng.randrange(5))) + shell % inside + "".join(rng.sample(below, rng.randrange(3))) + "</body></html>"
         assert extract_text(page, None) == "\n".join(PLAIN[b] % n for b, n in picks), page
+
+
+def plain_language(model, text):
+    """Language and score of one text, word by word."""
+    import regex
+
+    logs = [(dict(zip(keys, range(len(keys)))), rows) for keys, rows in model["tables"]]
+    sums, letters = np.zeros(len(model["langs"])), False
+    for chunk in (text or "").encode().split():
+        for word in regex.findall(r"\p{L}+", chunk.decode()):
+            letters, word = True, word.lower()
+            if word in logs[0][0]:
+                sums += logs[0][1][logs[0][0][word]]
+                continue
+            padded = f" {word} "
+            for k in range(min(langid.MAX_N, len(padded)), 0, -1):
+                hits = [logs[k][0][padded[i : i + k]] for i in range(len(padded) - k + 1) if padded[i : i + k] in logs[k][0]]
+                if hits:
+                    sums += logs[k][1][hits].mean(0)
+                    break
+    if not letters:
+        return "und", 0.0
+    return model["langs"][int(sums.argmax())], float(1 / np.exp(sums - sums.max()).sum())
+
+
+def test_languages_against_a_plain_version(spark):
+    rng = random.Random(18)
+    stems = {"xx": ["thing", "over", "and", "the"], "yy": ["über", "straße", "und", "der"], "zz": ["ça", "élan", "et", "ver"]}
+    rows = [(i, " ".join(rng.choice(stems[lang]) + rng.choice(["", "", "en", "ing", "e"]) for _ in range(15)), lang) for i, lang in enumerate(["xx", "yy", "zz"] * 40)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    pool = [w for s in stems.values() for w in s] + ["straßen", "overund", "İstanbul", "e\u0301t", "42", "--", "q"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(0, 8))) for _ in range(60)] + [None, "", "12 !!", "\u00a0"]
+    odd = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, lang_pred int, SCORE int")
+    for r in langid.predict(odd, model).collect():
+        lang, score = plain_language(model, texts[r["doc_id"]])
+        assert abs(r["score"] - score) < 1e-3 and (r["lang_pred"] == lang or abs(score - 0.5) < 1e-3)

@@ -250,6 +250,57 @@ def select_pages(index: DataFrame, target: str, total: DataFrame | None = None)
     return d.select("deal_key", F.sort_array(F.array_distinct(pages)).alias("pages"))
 
 
+def expense_pages(index: DataFrame) -> DataFrame:
+    """``deal_key, extra``: pages of the primary report whose index line shows the grid of administrative expenses."""
+    b = F.lower(F.coalesce("preview", F.lit("")))
+    one = F.regexp_replace(b, r"\s+", " ")
+    in_waterfall = S.any_of(b, ["section 11.1", "distribution of interest proceeds", "available optimal paid"])
+    cap = F.contains(one, F.lit("administrative expenses cap"))
+    schedule = F.contains(b, F.lit("schedule g")) & (F.col("page") <= 4)
+    grid = (
+        F.when(F.contains(one, F.lit("administrative cap and expenses")), True)
+        .when(cap, ~S.any_of(one, ["section 11.1", "distribution of interest proceeds"]))
+        .otherwise((F.contains(b, F.lit("administrative expenses")) & ~in_waterfall) | schedule)
+    )
+    return index.groupBy("deal_key").agg(_pages_where(grid).alias("extra"))
+
+
+def _pages_by_report(primary: DataFrame, waterfall: DataFrame, tree: str, total: DataFrame | None, waterfall_total: DataFrame | None) -> DataFrame:
+    """``deal_key, own, wf``: pages of file 03 in the primary report, with its expense pages, and in the waterfall report."""
+    if tree not in ("primary", "waterfall", "both"):
+        raise ValueError(tree)
+    none = F.array().cast("array<int>")
+    own = select_pages(primary, "03", total).join(expense_pages(primary), "deal_key").select("deal_key", F.sort_array(F.array_union("pages", "extra")).alias("own"))
+    wf = select_pages(waterfall, "03", waterfall_total).withColumnRenamed("pages", "wf")
+    d = own.join(wf, "deal_key", "full")
+    keep = lambda c, use: F.coalesce(F.col(c), none) if use else none
+    return d.select("deal_key", keep("own", tree != "waterfall").alias("own"), keep("wf", tree != "primary").alias("wf"))
+
+
+def mandatory_pages(primary: DataFrame, waterfall: DataFrame, tree: str = "both", total: DataFrame | None = None, waterfall_total: DataFrame | None = None) -> DataFrame:
+    """``deal_key, page``: pages that file 03 must be read from, as rule V12 wants them.
+
+    ``primary`` and ``waterfall`` are index rows (``deal_key, page, preview``)
+    of a deal's two reports; ``tree`` says which of them count. Deals without
+    a waterfall page give no row.
+    """
+    d = _pages_by_report(primary, waterfall, tree, total, waterfall_total)
+    return d.select("deal_key", F.explode(F.sort_array(F.array_union("own", "wf"))).alias("page"))
+
+
+def waterfall_chunks(spans: DataFrame, primary: DataFrame, waterfall: DataFrame, tree: str = "both", total: DataFrame | None = None, waterfall_total: DataFrame | None = None) -> DataFrame:
+    """Chunks (``deal_key, tree, first, last, ...``) of either report that hold a page of file 03.
+
+    With the waterfall report alone its pages are looked up in the primary
+    report's chunks too.
+    """
+    d = _pages_by_report(primary, waterfall, tree, total, waterfall_total)
+    primary_pages = F.col("wf") if tree == "waterfall" else F.col("own")
+    wanted = d.select("deal_key", F.inline(F.array(F.struct(F.lit("primary").alias("tree"), primary_pages.alias("pages")), F.struct(F.lit("waterfall").alias("tree"), F.col("wf").alias("pages")))))
+    hit = F.exists("pages", lambda p: p.between(F.col("first"), F.col("last")))
+    return spans.join(wanted, ["deal_key", "tree"]).filter(hit).select(*spans.columns)
+
+
 def chunks_for(spans: DataFrame, pages: DataFrame) -> DataFrame:
     """Chunks (``deal_key, first, last``) that hold a wanted page: an overlap test on one deal row."""
     d = spans.join(pages, "deal_key")

@@ -140,3 +140,80 @@ def id_conflicts(resolved: DataFrame) -> DataFrame:
 def trusted_id(xml_id: Column, xml_status: Column, codes: Column) -> Column:
     """An exported id is trusted only if it was ok and there is no code to look up."""
     return F.when((xml_status == "ok") & (F.size(F.coalesce(codes, F.array().cast("array<string>"))) == 0), xml_id)
+
+
+def facts_of(classes: DataFrame, names: DataFrame, facts: DataFrame) -> DataFrame:
+    """M8: classes (``deal_key, class, tranche_id`` and the text fields of ``FACTS``) beside their stored facts.
+
+    Adds ``db_<field>``, ``db_name``, ``diff_<field>`` and ``db_status``: ok,
+    no_match, or no_data where the class row has no ``payment_date``.
+    """
+    found = fact_rows(classes, names, facts)
+    have = [f for f in FACTS if f in found.columns]
+    found = found.select("deal_key", "tranche_id", F.col("name").alias("db_name"), *[F.col(f).alias(f"db_{f}") for f in have])
+    dated = F.trim(F.coalesce("payment_date", F.lit(""))) != ""
+    d = classes.join(found, ["deal_key", "tranche_id"], "left")
+    diffs = {f"diff_{f}": F.when(F.col("db_name").isNotNull(), amount_difference(S.to_float(F.col(f)), F.col(f"db_{f}").cast("double"), rate=f.endswith("rate"))).otherwise("") for f in have}
+    return d.withColumns(diffs | {"db_status": F.when(F.col("db_name").isNotNull(), "ok").when(dated, "no_match").otherwise("no_data")})
+
+
+def master_of(classes: DataFrame, master: DataFrame, balance: str = "orig_balance", order: str | None = None) -> DataFrame:
+    """M8: classes with the original balance of their master row: ``db_original_balance, diff_original_balance, tm_status``."""
+    d = master_rows(classes, master, order)
+    stored = F.col(f"master.{balance}").cast("double")
+    known = F.col("master").isNotNull()
+    diff = F.when(known, amount_difference(S.to_float(F.col("original_balance")), stored, rate=False)).otherwise("")
+    status = F.when(known, "ok").when(F.col("tranche_id").isNull(), "no_data").otherwise("no_match")
+    return d.withColumns({"db_original_balance": stored, "diff_original_balance": diff, "tm_status": status}).drop("master", "master_id")
+
+
+MAPPED = ["norm", "tranche_id", "tier", "status", "matched_code", "matched_name"]
+
+
+def enrich(classes: DataFrame, codes: DataFrame, names: DataFrame, facts: DataFrame | None = None, master: DataFrame | None = None) -> DataFrame:
+    """M9: class rows with the columns of :func:`resolve`, and beside stored facts and master rows if these are given.
+
+    ``classes`` has one row per ``deal_key, class`` and the columns that
+    ``resolve``, :func:`facts_of` and :func:`master_of` read; a column ``code``
+    gets the code that matched. No row is lost or multiplied.
+    """
+    r = resolve(classes.select("deal_key", "class", "deal_name", "codes"), codes, names)
+    d = classes.join(r.select("deal_key", "class", *MAPPED), ["deal_key", "class"], "left")
+    return _stored(d, names, facts, master)
+
+
+def _stored(d: DataFrame, names: DataFrame, facts: DataFrame | None, master: DataFrame | None) -> DataFrame:
+    if "code" in d.columns:
+        d = d.withColumn("code", F.coalesce("matched_code", "code"))
+    if facts is not None:
+        d = facts_of(d, names, facts)
+    return d if master is None else master_of(d, master)
+
+
+def process_export(classes: DataFrame, codes: DataFrame, names: DataFrame, facts: DataFrame | None = None, master: DataFrame | None = None) -> DataFrame:
+    """Class rows of exported files, resolved anew unless their own id can be trusted.
+
+    Beside the columns of :func:`enrich`, ``classes`` has ``xml_id``,
+    ``xml_status`` and ``xml_tier``. An id that was ok stands where the class
+    has no code; otherwise codes, then names decide. ``already`` says that the
+    file's id stands, or that a code led to the same one.
+    """
+    asked = F.filter(F.coalesce("codes", F.array().cast("array<string>")), lambda c: ~F.upper(F.trim(c)).isin("", "N/A"))
+    d = classes.withColumn("codes", asked).withColumn("__own", trusted_id(F.nullif(F.col("xml_id"), F.lit("")), F.col("xml_status"), F.col("codes")))
+    # only rows whose id is not trusted are looked up
+    r = resolve(d.filter("__own is null").select("deal_key", "class", "deal_name", "codes"), codes, names)
+    d = d.join(r.select("deal_key", "class", *MAPPED), ["deal_key", "class"], "left")
+    own = F.col("__own").isNotNull()
+    same = (F.size("codes") > 0) & (F.col("xml_status") == "ok") & (F.col("tranche_id").cast("string") == F.col("xml_id")) & (F.col("tier") == "cusip")
+    d = d.withColumn("already", own | F.coalesce(same, F.lit(False)))
+    d = d.withColumns({"tier": F.when(own, F.coalesce(F.nullif(F.col("xml_tier"), F.lit("")), F.lit("xml"))).otherwise(F.col("tier")), "status": F.when(own, "ok").otherwise(F.coalesce("status", F.lit("unmapped"))), "tranche_id": F.when(own, F.col("__own")).otherwise(F.col("tranche_id").cast("string"))})
+    return _stored(d.drop("__own"), names, facts, master)
+
+
+def export_summary(deals: DataFrame, processed: DataFrame) -> DataFrame:
+    """``deal_key, class_rows, mapped_ok, unmapped, ambiguous, already, status`` of every deal; missing where it has no class."""
+    n = lambda test: F.count_if(test)
+    s = F.col("status")
+    g = processed.groupBy("deal_key").agg(F.count(F.lit(1)).alias("class_rows"), n(s == "ok").alias("mapped_ok"), n(~s.isin("ok", "ambiguous")).alias("unmapped"), n(s == "ambiguous").alias("ambiguous"), n(F.col("already")).alias("already"))
+    d = deals.select("deal_key").distinct().join(g, "deal_key", "left").na.fill(0, ["class_rows", "mapped_ok", "unmapped", "ambiguous", "already"])
+    return d.withColumn("status", F.when(F.col("class_rows") == 0, "missing").when(F.col("mapped_ok") < F.col("class_rows"), "partial").otherwise("ok"))

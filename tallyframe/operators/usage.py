@@ -59,6 +59,33 @@ def latest_run_cost(logs: DataFrame, order: list[str], stream: list[str], folder
     return runs.groupBy(*stream, folder).agg(F.max_by(cost, "__run").alias(cost))
 
 
+def _json(schema: str, broken: str) -> Column:
+    """The struct of a text ``value``, with the text itself in ``broken`` where it is no such object."""
+    return F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken})
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """``batch_id, source, finished_at, costs, folder_names`` of manifests, a JSON object a file.
+
+    Folder names lose spaces at the ends; costs that are no number and empty
+    names are left out; of names that become equal the last stays. A file
+    that is no JSON object is dropped.
+    """
+    schema = "batch_id string, source string, finished_at string, costs map<string, string>, folder_names array<string>, _corrupt_record string"
+    d = spark.read.text(path, wholetext=True).select(_json(schema, "_corrupt_record").alias("m")).select("m.*").filter("_corrupt_record is null")
+    pairs = F.transform(F.map_entries(F.coalesce("costs", F.create_map().cast("map<string, string>"))), lambda e: F.struct(F.trim(e["key"]).alias("key"), e["value"].try_cast("double").alias("value")))
+    pairs = F.filter(pairs, lambda e: (e["key"] != "") & e["value"].isNotNull())
+    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda x: x["key"] == e["key"]))
+    return d.withColumn("costs", F.map_from_entries(last)).drop("_corrupt_record")
+
+
+def latest_manifests(manifests: DataFrame, source: str | None = None) -> DataFrame:
+    """The manifest that finished last of each source, or of one; of equal times the greatest batch."""
+    d = manifests if source is None else manifests.filter(F.col("source") == source)
+    row = F.struct(*manifests.columns)
+    return d.groupBy("source").agg(F.max_by(row, F.struct("finished_at", "batch_id")).alias("m")).select("m.*")
+
+
 def manifest_costs(manifests: DataFrame, folders: DataFrame | None = None) -> DataFrame:
     """``batch_id, deal_folder, cost_usd`` of manifests, limited to the asked folders."""
     d = manifests.select("batch_id", F.explode("costs").alias("deal_folder", "cost_usd"))
@@ -77,7 +104,11 @@ def pipeline_label(folder: Column, in_agent_costs: Column, in_model_costs: Colum
     return F.when(name.endswith("_sdk"), "SDK").when(name.endswith("_llm"), "LLM").when(in_agent_costs & ~in_model_costs, "SDK").when(in_model_costs & ~in_agent_costs, "LLM").otherwise(F.upper(F.coalesce(batch_source, F.lit(""))))
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Usage lines; broken lines are dropped."""
-    schema = "ts string, model string, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint, cost_usd double, pricing_note string, deal_folder string, draft_target string, mode string, _corrupt_record string"
-    return spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json(path).filter("_corrupt_record is null").drop("_corrupt_record")
+LOG_SCHEMA = "ts string, model string, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint, cost_usd double, pricing_note string, deal_folder string, draft_target string, mode string"
+
+
+def read_logs(spark: SparkSession, path: str, tag: bool = False) -> DataFrame:
+    """Usage lines. Broken ones are dropped, or with ``tag`` kept whole in ``bad_line`` (null for good ones)."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    d = lines.select(_json(LOG_SCHEMA + ", bad_line string", "bad_line").alias("m")).select("m.*")
+    return d if tag else d.filter("bad_line is null").drop("bad_line")

@@ -19,7 +19,7 @@ from tallyframe.functions import tables as T
 from tallyframe.operators import diff, fees, layouts, pages, reconcile, resolve, rules, usage
 from tallyframe.session import materialize
 from tallyframe.sources import xml_export
-from tallyframe.sources.writers import table_line
+from tallyframe.sources.writers import comparison_report, table_line
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -628,6 +628,26 @@ def two_tier_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("deal_key", F.regexp_extract("class", r"(\d+)$", 1).cast("long").alias("supplier"), "norm", "tranche_id", "status", "tier")
 
 
+@query("""
+WITH s AS (SELECT s_suppkey, s_nationkey AS deal_key, substr('ABCDE', CAST(s_suppkey % 5 + 1 AS INTEGER), 1) || (s_suppkey % 7) AS norm FROM supplier),
+n AS (SELECT deal_key, norm, count(DISTINCT s_suppkey) AS k, min(s_suppkey) AS id FROM s WHERE s_suppkey % 2 = 1 GROUP BY 1, 2),
+r AS (SELECT s.*, s_suppkey % 3 > 0 AND s_suppkey % 4 = 0 AS own, CASE WHEN s_suppkey % 12 = 0 THEN 'ambiguous' WHEN s_suppkey % 6 = 0 THEN 'ok' WHEN k = 1 THEN 'ok' WHEN s_suppkey % 3 = 0 THEN 'unmapped' WHEN k > 1 THEN 'ambiguous' ELSE 'unmapped' END AS st,
+  CASE WHEN s_suppkey % 12 = 0 THEN NULL WHEN s_suppkey % 6 = 0 THEN s_suppkey WHEN k = 1 THEN n.id END AS id FROM s LEFT JOIN n USING (deal_key, norm)),
+t AS (SELECT deal_key, s_suppkey AS supplier, own, CASE WHEN own THEN 'ok' ELSE st END AS status, CASE WHEN own THEN CAST(s_suppkey AS VARCHAR) ELSE CAST(id AS VARCHAR) END AS tranche_id FROM r)
+SELECT deal_key, supplier, status, tranche_id, own OR (supplier % 6 = 0 AND supplier % 12 > 0 AND supplier % 4 > 0 AND supplier % 5 = 0) AS already,
+  CASE WHEN tranche_id IS NULL THEN 'no_data' WHEN CAST(tranche_id AS BIGINT) % 2 = 0 THEN 'ok' ELSE 'no_match' END AS tm_status,
+  CASE WHEN CAST(tranche_id AS BIGINT) % 2 = 0 THEN CASE WHEN CAST(tranche_id AS BIGINT) = supplier AND supplier % 4 = 0 THEN 'match' ELSE '+2.00' END ELSE '' END AS diff_original_balance FROM t""")
+def export_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class rows of exports, their own ids trusted or resolved anew, beside the master's balances."""
+    classes, codes, names = _classes(spark, sf_dir)
+    k = F.regexp_extract("class", r"(\d+)$", 1).cast("long")
+    d = classes.withColumns({"supplier": k, "xml_id": F.when((k % 4 == 0) | (k % 5 == 0), k.cast("string")), "xml_status": F.when((k % 4 == 0) | ((k % 5 == 0) & (k % 3 == 0)), "ok").otherwise("unmapped"), "xml_tier": F.lit(""), "payment_date": F.lit("2024-01-01")})
+    d = d.withColumn("original_balance", money(k + F.when(k % 4 == 0, 0).otherwise(2)))
+    master = read(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("deal_key"), F.col("s_suppkey").alias("tranche_id"), F.col("s_suppkey").alias("orig_balance"))
+    r = resolve.process_export(d, codes, names, master=master)
+    return r.select("deal_key", "supplier", "status", "tranche_id", "already", "tm_status", "diff_original_balance")
+
+
 LABELS = ["Class A-1 R Notes", "A-1-R_Loan", "Subordinated Notes B", "Class M-1 Subordinated Notes", "Preferred Shares", "Income Notes", "Series II Combination Securities", "Performance Notes", "Class A CP Notes", "DEAL 2018-70A SUB A", "Combo Notes", "PSA", "A 1 Floating Rate Notes"]
 LABEL_KEYS = ["A1R", "A1RL", "SUBB", "M1", "PS2", "INC", "SERIES2", "P", "ACP", "SUBA", "COMB", "SUBA", "A1"]
 
@@ -745,6 +765,21 @@ def account_and_note_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.account_changes(old, new).unionByName(diff.value_changes(old, new)).select("deal_key", "category", "label", "severity")
 
 
+@query("""
+WITH c AS (SELECT o_orderkey AS deal_key, o_orderkey % 3 AS k FROM orders)
+SELECT deal_key, '# Revised Report Comparison' || chr(10) || chr(10) || '## Summary' || chr(10) || '| Metric | Value |' || chr(10) || '|---|---|' || chr(10) || '| Deal | ' || deal_key || ' |' || chr(10)
+  || '| CRITICAL changes | ' || CASE k WHEN 1 THEN 1 ELSE 0 END || ' |' || chr(10) || '| HIGH changes | ' || CASE k WHEN 2 THEN 1 ELSE 0 END || ' |' || chr(10) || '| LOW changes | 0 |' || chr(10) || '| Total changed fields | ' || CASE WHEN k > 0 THEN 1 ELSE 0 END || ' |'
+  || chr(10) || chr(10) || '**Summary narrative:** ' || CASE k WHEN 0 THEN 'No material changes found between the original and revised report.' WHEN 1 THEN 'CRITICAL class changes: A ending balance.' ELSE '1 HIGH-severity field(s) changed.' END AS head,
+  CASE WHEN k = 1 THEN '| A | ending balance | 1.00 | 3.00 | +2.00 | +200.0000% | CRITICAL |' ELSE '_No changes detected (or data not available in this report type)._' END AS classes FROM c""")
+def comparison_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: the text of the comparison report, its head and its class section."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("deal_key"))
+    k, text = F.col("deal_key") % 3, lambda a, b: F.when(F.col("deal_key") % 3 == 1, a).otherwise(b)
+    changes = o.filter(k > 0).select("deal_key", text("Class balances", "Key dates").alias("category"), text("A", "record date").alias("label"), text("ending balance", "record date").alias("field"), F.lit("1.00").alias("original"), F.lit("3.00").alias("revised"), F.lit("+2.00").alias("change"), F.lit("+200.0000%").alias("change_pct"), text("CRITICAL", "HIGH").alias("severity"))
+    part = F.element_at(F.split(F.regexp_extract("text", r"(?s)## Class balances\n(.*?)\n\n## Fees", 1), "\n"), -1)
+    return comparison_report(o, changes).select("deal_key", F.regexp_replace(F.regexp_extract("text", r"(?s)\A(.*?)\n## Note", 1), r"\n+\z", "").alias("head"), part.alias("classes"))
+
+
 # --- pages ------------------------------------------------------------------------------------
 
 
@@ -818,6 +853,19 @@ def waterfall_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select_pages(_index(spark, sf_dir), "03").select("deal_key", F.size("pages").alias("n"))
 
 
+@query("""
+WITH i AS (SELECT doc_id // 20 AS deal_key, CAST(doc_id % 20 + 1 AS INTEGER) AS page, (doc_id * 7 + doc_id // 20) % 10 AS k FROM documents),
+-- lines 0 and 4 of the ten name the waterfall and the grid of administrative expenses; the second report has line 0 alone, two pages on
+p AS (SELECT deal_key, page FROM i WHERE k IN (0, 4)), w AS (SELECT deal_key, page + 2 AS page FROM i WHERE k = 0),
+lo AS (SELECT deal_key, min(page) AS a, max(page) AS b FROM p GROUP BY 1 UNION ALL SELECT deal_key, min(page), max(page) FROM w GROUP BY 1)
+SELECT DISTINCT deal_key, CAST(unnest(range(a, b + 1)) AS INTEGER) AS page FROM lo""")
+def mandatory_waterfall_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that file 03 must be read from, of a deal's two reports."""
+    own = _index(spark, sf_dir).withColumn("preview", F.when(F.col("preview").isin(INDEX_LINES[0], INDEX_LINES[4]), F.col("preview")).otherwise("nothing here"))
+    other = _index(spark, sf_dir).withColumns({"page": F.col("page") + 2, "preview": F.when(F.col("preview") == INDEX_LINES[0], F.col("preview")).otherwise("nothing here")})
+    return pages.mandatory_pages(own, other)
+
+
 @query()
 def class_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of the class tables by layout."""
@@ -905,6 +953,13 @@ def latest_run_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.latest_run_cost(_logs(spark, sf_dir), ["ts", "event_id"], ["user_id"])
 
 
+@query("SELECT event_type AS source, max(event_id) AS batch_id FROM events GROUP BY 1")
+def latest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last manifest of each source."""
+    d = read(spark, sf_dir, "events").select(F.col("event_id").alias("batch_id"), F.col("event_type").alias("source"), F.format_string("%020d", F.expr("event_id div 2")).alias("finished_at"))
+    return usage.latest_manifests(d).select("source", "batch_id")
+
+
 MODELS = ["gpt-5.4-mini-x", "gpt-5.4", "gpt-4o-mini", "gpt-4o-2024", "GPT-4.1-nano", "gpt-4.1", "gpt-3.5-turbo", "other-model"]
 _PRICE = "CASE " + " ".join(f"WHEN starts_with(lower(m), '{p}') THEN {{}}".format(f"k * {i} + k * {o}") for p, i, o in usage.PRICES) + " END"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as S
@@ -94,9 +94,16 @@ def deal_folders(paths: DataFrame, source: str | None = None, most: int = 0) ->
     return d.limit(most) if most else d
 
 
-def tail_lines(lines: DataFrame, order: str, n: int) -> DataFrame:
-    """The last ``n`` lines of a log frame."""
-    return lines.orderBy(F.desc(order)).limit(n)
+def tail_lines(lines: DataFrame, order: str, n: int, most_bytes: int | None = None, text: str = "value") -> DataFrame:
+    """The last ``n`` lines of a log frame; with ``most_bytes`` only the whole ones among its last so many bytes.
+
+    A line counts its UTF-8 bytes and its line end. The running sum sees these ``n`` lines alone.
+    """
+    d = lines.orderBy(F.desc(order)).limit(n)
+    if most_bytes is None:
+        return d
+    used = F.sum(F.octet_length(F.coalesce(text, F.lit(""))) + 1).over(Window.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("__used", used).filter(F.col("__used") <= most_bytes).drop("__used")
 
 
 def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:

@@ -9,6 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +22,23 @@ MAX_TRAIN = 8_000
 MIN_DOCS = 5
 #: Longest run of one chunk that has an indicator, and where these indicators start.
 MAX_RUN, RUN_FEATURE = 5, 17
+#: Bytes of text whose features are computed at once; a longer text is a slice of its own.
+SLICE_BYTES = 1 << 20
 PARTS = re.compile(r"[^\W_]+|[\W_]+")
 
 
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of neighbours whose sizes sum to at most ``most``, or of a single larger one."""
+    lo, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > lo and total + n > most:
+            yield lo, i
+            lo, total = i, 0
+        total += n
+    if len(sizes):
+        yield lo, len(sizes)
+
+
 def chunk_terms(chunk: bytes) -> list[int]:
     """Term numbers of a white-space chunk: letter-digit runs, sign runs, and their case."""
     text = chunk.decode()
@@ -167,12 +182,15 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurizer = Featurizer()
-        for b in batches:
-            texts = b.column(2).cast(pa.binary()).to_pylist()
-            doc, feat = featurizer.batch(texts)
-            ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-            feats = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), feats], names=["doc_id", "label", "feats"])
+        for whole in batches:
+            sizes = pc.binary_length(whole.column(2).cast(pa.binary())).to_numpy()
+            for lo, hi in slices(sizes, SLICE_BYTES):
+                b = whole.slice(lo, hi - lo)
+                texts = b.column(2).cast(pa.binary()).to_pylist()
+                doc, feat = featurizer.batch(texts)
+                ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+                feats = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feat.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), feats], names=["doc_id", "label", "feats"])
 
     got = d.mapInArrow(run, "doc_id long, label int, feats array<int>").toArrow()
     # the order of arrival depends on the cluster; the fit must not
@@ -205,19 +223,22 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        known, weight, sq = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+        # only the marks have the hash's size; weights are looked up by the place of a feature among the model's
+        known = np.zeros(1 << BITS, bool)
         known[m["feats"]] = True
-        if len(m["feats"]):
-            weight[m["feats"]] = m["weights"] * m["ratio"]
-            sq[m["feats"]] = m["ratio"] ** 2
+        weight, sq = m["weights"] * m["ratio"], m["ratio"] ** 2
         featurizer = worker_cache("features", Featurizer)
         for b in batches:
-            texts = b.column(at).cast(pa.binary()).fill_null(b"").to_pylist()
-            doc, feat = featurizer.batch(texts, known)
-            top = np.bincount(doc, weight[feat], len(texts))
-            norm = np.sqrt(np.bincount(doc, sq[feat], len(texts)))
-            margin = top / np.maximum(norm, 1e-9) + m["bias"]
-            p = 1 / (1 + np.exp(-np.clip(m["scale"] * margin + m["shift"], -30, 30)))
+            texts = b.column(at).cast(pa.binary()).fill_null(b"")
+            p = np.zeros(len(texts))
+            for lo, hi in slices(pc.binary_length(texts).to_numpy(), SLICE_BYTES):
+                part = texts[lo:hi].to_pylist()
+                doc, feat = featurizer.batch(part, known)
+                place = np.searchsorted(m["feats"], feat)
+                top = np.bincount(doc, weight[place], len(part))
+                norm = np.sqrt(np.bincount(doc, sq[place], len(part)))
+                margin = top / np.maximum(norm, 1e-9) + m["bias"]
+                p[lo:hi] = 1 / (1 + np.exp(-np.clip(m["scale"] * margin + m["shift"], -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*carry, *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}

@@ -316,3 +316,13 @@ def test_languages_against_a_plain_version(spark):
     for r in langid.predict(odd, model).collect():
         lang, score = plain_language(model, texts[r["doc_id"]])
         assert abs(r["score"] - score) < 1e-3 and (r["lang_pred"] == lang or abs(score - 0.5) < 1e-3)
+
+
+def test_slices_cover_every_text_once():
+    import numpy as np
+
+    from tallyframe.llm.quality import slices
+
+    assert list(slices(np.array([], int), 5)) == []
+    assert list(slices(np.array([2, 3, 1, 9, 0, 0, 5, 5]), 5)) == [(0, 2), (2, 3), (3, 4), (4, 7), (7, 8)]
+    assert list(slices(np.array([0, 0, 0]), 5)) == [(0, 3)]
